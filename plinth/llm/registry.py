@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plinth.llm import fingerprint, html_extract, quality, url_filter
+from plinth.llm import fingerprint, html_extract, packing, piece_count, quality, url_filter
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_token_count": piece_count.op5_token_count,
     "op7_html_extract": html_extract.op7_html_extract,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_quality": quality.op9_quality,
