@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plinth.llm import fingerprint, html_extract, packing, piece_count, quality, url_filter
+from plinth.llm import fingerprint, html_extract, packing, piece_count, quality, suffix_dedup, url_filter
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_count": piece_count.op5_token_count,
     "op7_html_extract": html_extract.op7_html_extract,
