@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plinth.llm import fingerprint, html_extract, packing, piece_count, quality, suffix_dedup, url_filter
+from plinth.llm import fingerprint, html_extract, near_dedup, packing, piece_count, quality, suffix_dedup, url_filter
 
 QUERIES = {
+    "op2_minhash_dedup": near_dedup.op2_minhash_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_count": piece_count.op5_token_count,
