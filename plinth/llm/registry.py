@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plinth.llm import decontaminate, fingerprint, html_extract, near_dedup, packing, piece_count, quality, suffix_dedup, url_filter
+from plinth.llm import decontaminate, fingerprint, html_extract, katz, near_dedup, packing, piece_count, quality, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_katz_lm": katz.op1_katz_lm,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op2_minhash_dedup": near_dedup.op2_minhash_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
