@@ -8,7 +8,7 @@ suffix array, so its suffixes are thinned and dealt out without losing a match:
    also stands, in the same place of the match, in the other copy. About two grams in ``least`` are anchors.
 2. Anchors whose hash occurs once are dropped. The others bring their neighbourhood, as far as a match of ``least`` bytes
    that holds them can reach. Equal neighbourhoods are counted, not repeated, before they move: copies stay cheap.
-3. The neighbourhoods of one gram are the suffixes that start with it. Sorted, with the common prefixes of neighbours, a
+3. The neighbourhoods of one gram are the suffixes that start with it, in classes that share half of ``least`` bytes. Sorted, with the common prefixes of neighbours, a
    stack scan gives their common-prefix intervals, the deepest first. Of each interval's members the left contexts are
    compared in sorted order: where they differ the interval is left-diverse, and each member's longest left extension
    within it is known. An extension and a prefix of ``least`` bytes together are a repeat, and every member of the interval
@@ -47,41 +47,88 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least (or greatest) of each run of width values."""
+def _sliding(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of width values."""
     n = len(values)
-    step = np.minimum if least else np.maximum
     rows = -(-n // width)
-    padded = np.full(rows * width, np.iinfo(np.uint64).max if least else 0, np.uint64)
+    padded = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
     padded[:n] = values
     blocks = padded.reshape(rows, width)
-    ahead = step.accumulate(blocks, axis=1).ravel()
-    behind = step.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return step(behind[: n - width + 1], ahead[width - 1 : n])
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors in flat, and their hashes. Segments [start, end) follow one another and matches don't cross them."""
+def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors in flat and their hashes; begins and ends of the strings that are repeated within their own run.
+
+    Segments [start, end) follow one another and matches don't cross them. Of several least grams in a window the first is
+    its anchor, or the last if the run of them may have begun before the window: so a run has one anchor at either end, not
+    one for each turn. A window that is a run altogether, of a period of half of it at most, is repeated if the run goes on
+    for one more period; the windows of the run's first period then stand for all.
+    """
+    none = np.zeros(0, np.int64)
     n, width = len(flat), least - gram + 1
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, none
     sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE)[:n], dtype=np.uint64)])
-    code = (sums[gram:] - sums[:-gram]) * _powers(n, _BACK)[: n - gram + 1]
-    del sums
+    back = _powers(n, _BACK)
+    code = (sums[gram:] - sums[:-gram]) * back[: n - gram + 1]
     code ^= code >> np.uint64(31)
     code *= np.uint64(0x9FB21C651E98DF25)
     code ^= code >> np.uint64(28)
-    code |= np.uint64(1)
-    low = _sliding(code, width, True)  # of the window that starts there
+    mask = np.uint64((1 << 23) - 1)  # room for the places of a segment
+    place = np.arange(len(code), dtype=np.uint64)
+    high = code & ~mask
+    first = (_sliding(high | place, width) & mask).astype(np.int64)
+    last = (mask - (_sliding(high | (mask - place), width) & mask)).astype(np.int64)
     valid = np.zeros(n + 1, np.int8)
     long = ends - starts >= least
     valid[starts[long]] += 1
     np.add.at(valid, ends[long] - least + 1, -1)
-    low[np.cumsum(valid)[: len(low)] == 0] = 0
-    # a gram is an anchor if a window that holds it has it as its least
-    high = _sliding(np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)]), width, False)[: len(code)]
-    at = np.flatnonzero((high == code) & (code > 0))
-    return at, code[at].view(np.int64)
+    window = np.flatnonzero(np.cumsum(valid)[: len(first)] > 0)
+    pick = first[window]
+    tied = np.flatnonzero(pick != last[window])
+    local = none
+    if len(tied):
+        i, one, other = window[tied], pick[tied], last[window[tied]]
+        # the period: how far on the first of the equal grams comes again
+        heads, at = np.unique(one, return_inverse=True)
+        reach = np.zeros(len(heads), np.int64)
+        np.maximum.at(reach, at, other - one)
+        period, open_ = reach.copy(), np.arange(len(heads))
+        for d in range(1, least // 2 + 1):
+            open_ = open_[reach[open_] > d]
+            if not len(open_):
+                break
+            hit = high[heads[open_] + d] == high[heads[open_]]
+            period[open_[hit]] = d
+            open_ = open_[~hit]
+        period = period[at]
+
+        def same(x: np.ndarray, y: np.ndarray, length: np.ndarray) -> np.ndarray:
+            return (sums[x + length] - sums[x]) * back[x] == (sums[y + length] - sums[y]) * back[y]
+
+        whole = (period <= least // 2) & same(i, i + period, least - period)
+        pick[tied] = np.where(whole | (one - i >= period), one, other)
+        # windows that come again one period on, and those that stood there one period before
+        is_window = np.zeros(n + 1, bool)
+        is_window[window] = True
+        segment = np.searchsorted(starts, i, side="right")
+        ahead, before = np.minimum(i + period, n), np.maximum(i - period, 0)
+        on = whole & is_window[ahead] & (np.searchsorted(starts, ahead, side="right") == segment)
+        on[on] = same(i[on], ahead[on], np.full(int(on.sum()), least))
+        held = whole & (i >= period) & is_window[before] & (np.searchsorted(starts, before, side="right") == segment)
+        held[held] = same(i[held], before[held], np.full(int(held.sum()), least))
+        local = np.unique(np.concatenate([i[on], ahead[on]]))
+        keep = np.ones(len(window), bool)
+        keep[tied[held]] = False
+        pick = pick[keep]
+    at = np.unique(pick)
+    breaks = np.flatnonzero(np.diff(local) > 1)
+    begins = local[np.concatenate([[0], breaks + 1])] if len(local) else none
+    finishes = (local[np.concatenate([breaks, [len(local) - 1]])] + least) if len(local) else none
+    return at, code[at].view(np.int64), begins, finishes
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,15 +145,18 @@ def _anchor_rows(rows: DataFrame, least: int, gram: int) -> DataFrame:
                 last = min(len(flat), first + SEGMENT + least - 1)
                 starts, ends = np.clip(at[:-1], first, last), np.clip(at[1:], first, last)
                 some = ends > starts
-                place, code = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram)
-                place += first
+                place, code, begins, finishes = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram)
+                # anchors have a hash, runs an end
+                place = np.concatenate([place, begins]) + first
                 doc = np.searchsorted(at, place, side="right") - 1
                 if len(place):
-                    yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(place - at[doc])], names=["h", "__k1", "__k2", "pos"])
+                    hashes = pa.concat_arrays([pa.array(code), pa.nulls(len(begins), pa.int64())])
+                    stops = pa.concat_arrays([pa.nulls(len(code), pa.int64()), pa.array(finishes + first - at[doc[len(code) :]], pa.int64())])
+                    yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(place - at[doc]), stops], names=["h", "__k1", "__k2", "pos", "end"])
                 if last == len(flat):
                     break
 
-    return rows.mapInArrow(find, "h bigint, __k1 bigint, __k2 bigint, pos bigint")
+    return rows.mapInArrow(find, "h bigint, __k1 bigint, __k2 bigint, pos bigint, end bigint")
 
 
 def _neighbourhoods(rows: DataFrame, least: int, gram: int) -> DataFrame:
@@ -187,22 +237,39 @@ def repeats(members: list[tuple[int, bytes, int]], least: int) -> list[tuple[int
         return best
     rights = [context[left:] for left, context, _ in members]
     lefts = [context[:left][::-1] for left, context, _ in members]
-    array = sorted(range(n), key=rights.__getitem__)
-    lcp = [0] + [_common(rights[array[i - 1]], rights[array[i]]) for i in range(1, n)]
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    left_rank = [0] * n
-    for rank, i in enumerate(by_left):
-        left_rank[i] = rank
-    for depth, first, last in prefix_intervals(lcp):
-        inside = sorted(array[first : last + 1], key=left_rank.__getitem__)
-        for a, b in zip(inside, inside[1:]):
-            shared = _common(lefts[a], lefts[b])
-            if shared + depth >= least:
-                for i in (a, b):
-                    best[i] = (max(best[i][0], shared), max(best[i][1], depth))
+    # of a repeat of ``least`` bytes, half stands right of the anchor or half stands left of it
+    half = (least + 1) // 2
+    for ahead, behind, swapped in ((rights, lefts, False), (lefts, rights, True)):
+        alike: dict[bytes, list[int]] = {}
+        for i, x in enumerate(ahead):
+            if len(x) >= half:
+                alike.setdefault(x[:half], []).append(i)
+        for some in alike.values():
+            if len(some) > 1:
+                _extend(some, ahead, behind, least, best, swapped)
     return best
 
 
+def _extend(some: list[int], ahead: list[bytes], behind: list[bytes], least: int, best: list[tuple[int, int]], swapped: bool) -> None:
+    """The members' enhanced suffix array by what is ahead, its intervals, and in each the longest extensions behind."""
+    if len(some) == 2:
+        a, b = some
+        found = [(a, b, _common(behind[a], behind[b]), _common(ahead[a], ahead[b]))]
+    else:
+        array = sorted(some, key=ahead.__getitem__)
+        lcp = [0] + [_common(ahead[array[i - 1]], ahead[array[i]]) for i in range(1, len(array))]
+        rank = {i: r for r, i in enumerate(sorted(some, key=behind.__getitem__))}
+        found = []
+        for depth, first, last in prefix_intervals(lcp):
+            inside = sorted(array[first : last + 1], key=rank.__getitem__)
+            found += [(a, b, _common(behind[a], behind[b]), depth) for a, b in zip(inside, inside[1:])]
+    for a, b, back, on in found:
+        if back + on >= least:
+            left, right = (on, back) if swapped else (back, on)
+            for i in (a, b):
+                best[i] = (max(best[i][0], left), max(best[i][1], right))
+
+
 def _parts(counted: DataFrame, least: int, parts: int) -> DataFrame:
     """c1, c2, l, r of the neighbourhoods with repeats, from one sorted pass over each gram's."""
     schema = "c1 bigint, c2 bigint, l bigint, r bigint"
@@ -264,7 +331,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gra
     """docs by __k1, __k2, and the spans (array of begin, end, in bytes, unordered) of the texts that have repeats."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = _keyed(docs, key, text)
-    found = cut(_anchor_rows(rows, least, gram), "anchors")
+    read = cut(_anchor_rows(rows, least, gram), "anchors")
+    found, inner = read.where("h is not null").drop("end"), read.where("h is null").select("__k1", "__k2", F.col("pos").alias("begin"), "end")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     per_text = found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
     extracts = cut(_neighbourhoods(rows.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found"), least, gram), "neighbourhoods")
@@ -274,7 +342,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gra
         reach = _parts(counted, least, parts)
     else:
         reach = _parts(counted.join(hot, "h", "left_anti"), least, parts).unionByName(_hot_parts(counted.join(hot, "h", "left_semi"), least))
-    spans = occurrences.select("c1", "c2", "__k1", "__k2", "pos").join(reach, ["c1", "c2"]).select("__k1", "__k2", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end"))
+    spans = occurrences.select("c1", "c2", "__k1", "__k2", "pos").join(reach, ["c1", "c2"]).select("__k1", "__k2", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end")).unionByName(inner)
     return rows, spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
 
 
