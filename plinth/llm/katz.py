@@ -32,6 +32,8 @@ from plinth.llm.quality import remainder
 
 MOST = 5  # counts up to this one are discounted
 BATCH_TOKENS = 2_000_000
+#: Logarithms travel in steps of 2**-20, about a millionth.
+STEPS = float(1 << 20)
 END_WORD = np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,7 +136,7 @@ def _read(rows: DataFrame, parts: int) -> DataFrame:
                 mine = by[bounds[p] : bounds[p + 1]]
                 if len(mine):
                     mine = mine[np.argsort(words[mine])]
-                    out.append((1, number, p, _packed(words[mine], np.uint64), _packed(count[mine], np.uint32), _packed(mine, np.uint32)))
+                    out.append((1, number, p, _packed(np.diff(words[mine], prepend=np.uint64(0)), np.uint64), _packed(count[mine], np.uint32), _packed(mine, np.uint32)))
             made, total = made + 1, 0
             for x in (tokens, sizes, keys, held):
                 x.clear()
@@ -162,17 +164,20 @@ def _number_words(read: DataFrame, parts: int) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in _groups(batches, "part"):
-            hashes = [_unpacked(r["a"], np.uint64) for r in rows]
+            hashes = [np.cumsum(_unpacked(r["a"], np.uint64), dtype=np.uint64) for r in rows]
             words, at = np.unique(np.concatenate(hashes), return_inverse=True)
             count = np.zeros(len(words), np.int64)
             np.add.at(count, at, np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]).astype(np.int64))
             seen = np.bincount(np.minimum(count, MOST + 2), minlength=MOST + 3)[: MOST + 2]
             out = [(3, -1, p, np.concatenate([[count.sum(), (count > 0).sum()], seen[1:]]).astype(np.int64).tobytes(), None, None)]
+            # frequent words have small numbers, which take less room
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
             first = 0
             for r, h in zip(rows, hashes):
                 mine = at[first : first + len(h)]
                 first += len(h)
-                out.append((2, r["batch"], p, _packed(mine * parts + p + 1, np.uint64), _packed(count[mine], np.uint64), r["c"]))
+                out.append((2, r["batch"], p, _packed(rank[mine] * parts + p + 1, np.uint64), _packed(count[mine], np.uint64), r["c"]))
             yield _rows(out)
 
     return read.where("kind = 1").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, ROW)
@@ -328,10 +333,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         for p, group in _groups(batches, "part"):
             merged = Merged(group)
             d = discounts(np.array(group[0]["n"]))
-            logs = np.log10(bigram_probabilities(merged.context, merged.follower, merged.count, d, unigrams)).astype(np.float32)
+            logs = np.round(-np.log10(bigram_probabilities(merged.context, merged.follower, merged.count, d, unigrams)) * STEPS).astype(np.uint32)
             first = 0
             for batch, size in zip(merged.batches, merged.sizes):
-                yield _rows([(5, batch, p, logs[merged.at[first : first + size]].tobytes(), None, None)])
+                yield _rows([(5, batch, p, _packed(logs[merged.at[first : first + size]], np.uint32), None, None)])
                 first += size
 
     answers = with_counts.sortWithinPartitions("part").mapInArrow(answer, ROW)
@@ -345,7 +350,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
             logs = np.zeros(len(order))
             for r in group:
                 if r["kind"] == 5:
-                    logs[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = np.frombuffer(r["a"], np.float32)
+                    logs[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = _unpacked(r["a"], np.uint32) / -STEPS
             counts = t.count[t.local]
             yield pa.RecordBatch.from_arrays(
                 [
