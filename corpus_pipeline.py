@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.llm import decontaminate, near_dedup, packing, quality, suffix_dedup
-from plinth.llm._common import shared_dir, small_batches, table
+from plinth.llm._common import fresh, shared_dir, small_batches, table
 
 #: A passage of more than fifty words has more bytes than this.
 PASSAGE_BYTES = 200
@@ -24,7 +24,8 @@ PASSAGE_BYTES = 200
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.with_score(docs, model, name="__quality_score").where(F.col("__quality_score") >= 0.5).drop("__quality_score")
+    score = fresh(docs, "__score")[0]
+    return quality.with_score(docs, model, name=score).where(F.col(score) >= 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm._common import flat_bytes, sliced, small_batches, table, text_or_empty
+from plinth.llm._common import flat_bytes, fresh, sliced, small_batches, table, text_or_empty
 
 MOST_DOCS, MOST_LINES, ROUNDS = 1500, 150, 100
 
@@ -87,8 +87,10 @@ def line_features(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
         shares.append((total[ends] - total[starts]) / np.maximum(1, length))
     # words: runs of bytes above the space; a word equal to the one before it, or to the one before that, in the same line
     inside = flat > 32
-    edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
-    w0, w1 = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    border = np.zeros(n + 1, bool)  # words don't run from one text into the next
+    border[at] = True
+    w0 = np.flatnonzero(inside & (~np.concatenate([[False], inside])[:-1] | border[:-1]))
+    w1 = np.flatnonzero(inside & (~np.concatenate([inside, [False]])[1:] | border[1:])) + 1
     line_of = np.searchsorted(starts, w0, side="right") - 1
     sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE)[:n], dtype=np.uint64)])
     word = (sums[w1] - sums[w0]) * _powers(n, _BACK)[w0] if len(w0) else np.zeros(0, np.uint64)
@@ -250,11 +252,12 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "__score") -> DataFrame:
     """All rows and columns of docs, and their score."""
-    source = docs.select("*", text_or_empty(text).alias("__scored_text"))
+    read = fresh(docs, "__scored_text")[0]
+    source = docs.select("*", text_or_empty(text).alias(read))
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "__scored_text"):
+        for batch in sliced(batches, read):
             found = scores(model, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[f.name for f in schema.fields])
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plinth.llm._common import cut, flat_bytes, sliced, small_batches, table, text_or_empty
+from plinth.llm._common import cut, flat_bytes, fresh, sliced, small_batches, table, text_or_empty
 
 LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 2 << 20
 
@@ -382,7 +382,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """All rows and columns of docs, the text without its repeats (whole characters only) and n_chars, if it is there, to match."""
     _, spans = repeated_spans(docs, key, text, least, gram, split)
     whole = text_or_empty(text)
-    joined = docs.withColumns({"__k1": F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), "__k2": F.xxhash64(whole)}).join(spans, ["__k1", "__k2"], "left").select(*(docs[c] for c in docs.columns), F.col("spans").alias("__spans"))
+    k1, k2, held = fresh(docs, "__k1", "__k2", "__spans")
+    keyed = docs.withColumns({k1: F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), k2: F.xxhash64(whole)})
+    joined = keyed.join(spans.select(F.col("__k1").alias(k1), F.col("__k2").alias(k2), F.col("spans").alias(held)), [k1, k2], "left").select(*docs.columns, held)
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index(text)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
