@@ -95,7 +95,7 @@ def greedy_association(spark, sf):
     from plinth.plans.space import comps
 
     c = comps(spark, sf)
-    return associate(c.where("frame < 50"), c.where("frame >= 50").withColumnRenamed("frame", "other"), "cls", "frame", "other", 2.0)
+    return associate(c.where("frame % 2 = 0"), c.where("frame % 2 = 1").withColumnRenamed("frame", "other"), "cls", "frame", "other", 2.0)
 
 
 @query("ordered_propagation")
