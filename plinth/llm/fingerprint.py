@@ -18,6 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,43 +69,53 @@ def likeness(a: str, b: str) -> float:
     return max(0.0, 1.0 - score)
 
 
-def _dealt(docs: DataFrame, key: str, text: str, parts: int) -> tuple[DataFrame, int]:
-    """Rows (__bucket, __place, key, text) with the keys in descending ranges, and the first row of each range again at the end of the range before it.
+LAST = -(2**63)  # stands for a null key
+
+
+def _place(bounds: list[int]):
+    """The range of a key: how many bounds lie above it, by binary search."""
+    edges = np.array(sorted(bounds), np.int64)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series) -> pd.Series:
+        return pd.Series((len(edges) - np.searchsorted(edges, key.to_numpy(np.int64), side="right")).astype(np.int32))
+
+    return place
 
-    Ranges come from the keys' approximate quantiles, a bounded list; only whole rows move, once.
-    """
-    rows = docs.select(F.col(key).cast("long").alias("__key"), text_or_empty(text).alias("__text"))
-    probabilities = [i / parts for i in range(1, parts)]
-    bounds = rows.select(F.percentile_approx("__key", F.array(*map(F.lit, probabilities)), 10 * parts).alias("b")).first()["b"] if parts > 1 else None
-    bounds = sorted(set(bounds or []), reverse=True)
-    # bucket 0 holds the largest keys, the last one the smallest and the nulls
-    if bounds:
-        edges = F.array(*map(F.lit, bounds))
-        bucket = F.when(F.col("__key").isNull(), F.lit(len(bounds))).otherwise(F.aggregate(edges, F.lit(0), lambda n, e: n + (F.col("__key") < e).cast("int")))
-    else:
-        bucket = F.lit(0)
-    rows = rows.withColumn("__bucket", bucket)
-    return rows, len(bounds) + 1
+
+def _before(heads: dict[int, int], before: dict[int, int]):
+    """Of a range's first key the range that precedes it, -1 for other keys."""
+    ranges = np.array(sorted(heads), np.int64)
+    keys, to = np.array([heads[r] for r in sorted(heads)], np.int64), np.array([before[r] for r in sorted(heads)], np.int32)
+
+    @F.pandas_udf("int")
+    def target(bucket: pd.Series, key: pd.Series) -> pd.Series:
+        at = np.searchsorted(ranges, bucket.to_numpy(np.int64))
+        return pd.Series(np.where(keys[at] == key.to_numpy(np.int64), to[at], -1).astype(np.int32))
+
+    return target
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of docs."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, n = _dealt(docs, key, text, parts)
-    # the first key of each range, and the range that precedes it: n rows at most
-    heads = rows.groupBy("__bucket").agg(F.max("__key").alias("__key"), F.count("*").alias("__n")).collect()
-    used = sorted(r["__bucket"] for r in heads)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    top = {r["__bucket"]: r["__key"] for r in heads}
+    key_or_last = F.coalesce("__key", F.lit(LAST))
+    rows = docs.select(F.col(key).cast("long").alias("__key"), text_or_empty(text).alias("__text"))
+    # ranges of descending keys by approximate quantiles: a bounded list. Only whole rows move, once.
+    quantiles = F.array(*(F.lit(i / parts) for i in range(1, parts)))
+    found = rows.select(F.percentile_approx("__key", quantiles, 10 * parts).alias("b")).first()["b"] if parts > 1 else None
+    bounds = sorted(set(found or []))
+    n = len(bounds) + 1
+    rows = rows.withColumn("__bucket", _place(bounds)(key_or_last))
+    # the first key of each range: n rows at most. That row comes again at the end of the range before
+    heads = {r["__bucket"]: r["k"] for r in rows.groupBy("__bucket").agg(F.max(key_or_last).alias("k")).collect()}
+    used = sorted(heads)
+    rows = rows.withColumn("__tail", F.lit(0))
     if used:
-        to = F.create_map(*(F.lit(x) for b in used for x in (b, before[b])))
-        first = F.create_map(*(F.lit(x) for b in used for x in (b, top[b] if top[b] is not None else -(2**63))))
-        is_head = F.coalesce(F.col("__key"), F.lit(-(2**63))) == first[F.col("__bucket")]
-        copies = rows.where(is_head).withColumn("__bucket", to[F.col("__bucket")]).withColumn("__tail", F.lit(1))
-        rows = rows.withColumn("__tail", F.lit(0)).unionByName(copies)
-    else:
-        rows = rows.withColumn("__tail", F.lit(0))
+        target = _before(heads, {b: used[i - 1] for i, b in enumerate(used)})
+        copies = rows.withColumn("__to", target("__bucket", key_or_last)).where("__to >= 0")
+        rows = rows.unionByName(copies.select("__key", "__text", F.col("__to").alias("__bucket"), F.lit(1).alias("__tail")))
     dealt = rows.repartition(max(n, 1), "__bucket").sortWithinPartitions(F.col("__bucket"), F.col("__tail"), F.col("__key").desc_nulls_last(), F.col("__text"))
     schema = f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
