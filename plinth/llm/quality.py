@@ -257,7 +257,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "_
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, read):
+        for batch in sliced(batches, read, 2 << 20):
             found = scores(model, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[f.name for f in schema.fields])
 
