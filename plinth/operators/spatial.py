@@ -91,7 +91,8 @@ def covered(points: DataFrame, tiles: DataFrame, point_id: str, tile: float) ->
 
 def nearest_line(points: DataFrame, lines: DataFrame, keys: list[str], point_id: str, line_id: str, most_lines: int = 10_000) -> DataFrame:
     """The line (rho, theta; score) nearest to each point, ties by the greater score, then the lesser id. Lines are a bounded list per key."""
-    listed = lines.groupBy(*keys).agg(F.slice(F.collect_list(F.struct(F.col("rho"), F.col("theta"), F.col("score"), F.col(line_id).alias("i"))), 1, most_lines + 1).alias("__l"))
+    listed = lines.groupBy(*keys).agg(F.collect_list(F.struct(F.col("rho"), F.col("theta"), F.col("score"), F.col(line_id).alias("i"))).alias("__l"))
+    listed = listed.withColumn("__l", F.when(F.size("__l") <= most_lines, F.col("__l")).otherwise(F.raise_error(F.lit(f"a key has more than {most_lines} lines"))))
     j = points.join(listed, keys)
     d = F.transform("__l", lambda r: F.struct(F.round(F.abs(F.col("x") * F.cos(r["theta"]) + F.col("y") * F.sin(r["theta"]) - r["rho"]), 9).alias("d"), (-r["score"]).alias("s"), r["i"].alias("i")))
     return j.select(*keys, point_id, F.array_min(d).alias("__b")).select(*keys, point_id, F.col("__b.i").alias(line_id), F.col("__b.d").alias("distance"))
