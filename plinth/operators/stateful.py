@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -84,6 +85,42 @@ class PlanarObserver:
         return self.x, self.v
 
 
+class KalmanTrack:
+    """Iterated extended Kalman filter of a planar track: state (x, y, heading, speed), ranges to the origin and headings as measurements."""
+
+    def __init__(self, spread: float = 1.0, rounds: int = 2) -> None:
+        self.x, self.p, self.time, self.spread, self.rounds = np.array([1.0, 0.0, 0.0, 0.0]), np.eye(4) * 100.0, None, spread, rounds
+
+    def predict(self, dt: float) -> None:
+        x, y, h, v = self.x
+        self.x = np.array([x + v * dt * math.cos(h), y + v * dt * math.sin(h), h, v])
+        f = np.eye(4)
+        f[0, 2], f[0, 3], f[1, 2], f[1, 3] = -v * dt * math.sin(h), dt * math.cos(h), v * dt * math.cos(h), dt * math.sin(h)
+        self.p = f @ self.p @ f.T + np.diag([1e-4, 1e-4, 1e-3, 1e-2]) * dt
+
+    def correct(self, kind: str, value: float) -> None:
+        prior, at = self.x, self.x.copy()
+        for _ in range(self.rounds):
+            if kind == "range":
+                r = max(1e-6, math.hypot(at[0], at[1]))
+                h, seen = np.array([at[0] / r, at[1] / r, 0.0, 0.0]), r
+                error = value - seen - h @ (prior - at)
+            else:
+                h = np.array([0.0, 0.0, 1.0, 0.0])
+                error = math.atan2(math.sin(value - prior[2]), math.cos(value - prior[2]))
+            gain = self.p @ h / (h @ self.p @ h + self.spread**2)
+            at = prior + gain * error
+        keep = np.eye(4) - np.outer(gain, h)
+        self.x, self.p = at, keep @ self.p @ keep.T + np.outer(gain, gain) * self.spread**2
+
+    def step(self, time: float, kind: str, value: float) -> tuple[float, float, float, float]:
+        if self.time is not None:
+            self.predict(time - self.time)
+        self.time = time
+        self.correct(kind, value)
+        return tuple(map(float, self.x))
+
+
 def fold(df: DataFrame, key: str, order: list[str], start: Callable, step: Callable, columns: str) -> DataFrame:
     """One row out for each row in: step(state, row) of the key's rows in order. Rows of one key are one drive's, a bounded sequence."""
     names = [c.split()[0] for c in columns.split(", ")]
@@ -113,3 +150,7 @@ def horizon(df: DataFrame, key: str, time: str, value: str, most: int, age: floa
 
 def observe(df: DataFrame, key: str, time: str, kind: str, value: str) -> DataFrame:
     return fold(df, key, [time, "event_id"], PlanarObserver, lambda s, r: s.step(getattr(r, time), getattr(r, kind), getattr(r, value)), "x double, v double")
+
+
+def track(df: DataFrame, key: str, time: str, kind: str, value: str, spread: float) -> DataFrame:
+    return fold(df, key, [time, "event_id"], lambda: KalmanTrack(spread), lambda s, r: s.step(getattr(r, time), getattr(r, kind), getattr(r, value)), "x double, y double, heading double, speed double")

@@ -141,6 +141,15 @@ def pose_observer(spark, sf):
     return observe(stream(spark, sf), "user_id", "t", "event_type", "value")
 
 
+@query("kalman_track")
+def kalman_track(spark, sf):
+    from plinth.operators.stateful import track
+
+    view = F.col("event_type") == "view"
+    s = stream(spark, sf).select("user_id", "event_id", (F.col("t") / 86400).alias("t"), F.when(view, "range").otherwise("heading").alias("kind"), F.when(view, F.col("value")).otherwise(F.col("value") / 200).alias("m"))
+    return track(s, "user_id", "t", "kind", "m", 2.0)
+
+
 @query("streaming_tumbling", f"{EV} SELECT event_type, CAST(floor(t / 3600) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 3) AS total FROM ev GROUP BY ALL")
 def streaming_tumbling(spark, sf):
     from plinth.streaming.replay import tumbling

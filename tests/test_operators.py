@@ -169,6 +169,15 @@ def test_horizon_and_wheel_states():
     assert w.step(5.0, "a", 2.0) == (2.0, 1)
 
 
+def test_kalman_track_follows_a_straight_line():
+    k = stateful.KalmanTrack(0.05)
+    for i in range(200):
+        x, y = 5 + 0.5 * i * 0.1, 2.0
+        k.step(i * 0.1, "range", math.hypot(x, y))
+        out = k.step(i * 0.1, "heading", 0.0)
+    assert math.hypot(out[0], out[1]) == pytest.approx(math.hypot(x, y), abs=0.1) and out[2] == pytest.approx(0.0, abs=0.05)
+
+
 def test_streaming_low_pass_equals_the_batch(spark, sf, tmp_path):
     from plinth.plans.catalog import stream
     from plinth.streaming import replay
