@@ -316,8 +316,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         sums += np.frombuffer(r["a"], np.int64)
     unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
     known = read.where("kind = 0").unionByName(numbered.where("kind = 2"))
-    tokens = known.repartition(parts, "batch").sortWithinPartitions("batch")
-    bigrams = _bigrams(tokens, parts).repartition(parts, "part")
+    dealt = known.repartition(parts, "batch")
+    bigrams = _bigrams(dealt.sortWithinPartitions("batch"), parts).repartition(parts, "part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, group in _groups(batches, "part"):
@@ -342,30 +342,28 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     answers = with_counts.sortWithinPartitions("part").mapInArrow(answer, ROW)
     schema = f"`{key}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _groups(batches, "batch"):
-            t = Tokens(group)
-            n = len(t.size)
-            order, bounds = t.dealt(parts)
-            logs = np.zeros(len(order))
-            for r in group:
-                if r["kind"] == 5:
-                    logs[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = _unpacked(r["a"], np.uint32) / -STEPS
-            counts = t.count[t.local]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(t.keys, pa.int64()),
-                    pa.array(t.held),
-                    pa.array(t.size),
-                    pa.array(np.bincount(t.doc, weights=counts > 0, minlength=n).astype(np.int64)),
-                    pa.array(np.full(n, unigrams.total, np.int64)),
-                    pa.array(np.bincount(t.doc, weights=unigrams.base(counts), minlength=n)),
-                    pa.array(np.bincount(t.doc, weights=logs[t.pair_of], minlength=n)),
-                ],
-                names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return known.unionByName(answers).repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(score, schema)
+    def score(tokens: pa.Table, replies: pa.Table) -> pa.Table:
+        t = Tokens(tokens.to_pylist())
+        n = len(t.size)
+        order, bounds = t.dealt(parts)
+        logs = np.zeros(len(order))
+        for r in replies.to_pylist():
+            logs[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = _unpacked(r["a"], np.uint32) / -STEPS
+        counts = t.count[t.local]
+        return pa.table(
+            {
+                key: pa.array(t.keys, pa.int64()),
+                "held_out": pa.array(t.held),
+                "n_tokens": pa.array(t.size),
+                "n_known": pa.array(np.bincount(t.doc, weights=counts > 0, minlength=n).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, unigrams.total, np.int64)),
+                "base_score": pa.array(np.bincount(t.doc, weights=unigrams.base(counts), minlength=n)),
+                "score": pa.array(np.bincount(t.doc, weights=logs[t.pair_of], minlength=n)),
+            }
+        )
+
+    # the batches' exchange serves again: only the answers move to them
+    return dealt.groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch")).applyInArrow(score, schema)
 
 
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
