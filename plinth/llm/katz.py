@@ -31,7 +31,7 @@ from plinth.llm._common import cut, flat_bytes, table, text_or_empty
 from plinth.llm.quality import remainder
 
 MOST = 5  # counts up to this one are discounted
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_200_000
 #: Logarithms travel in steps of 2**-20, about a millionth.
 STEPS = float(1 << 20)
 END_WORD = np.uint64(1)
@@ -252,7 +252,8 @@ class Merged:
         self.at = np.empty(len(order), np.int64)
         self.at[order] = group
         self.context = one[new]
-        self.follower = follower[order][new]
+        self.follower = follower[order[new]]
+        del one, two, follower, new
         self.count = np.bincount(group, weights=seen[order], minlength=len(self.context)).astype(np.int64)
 
 
