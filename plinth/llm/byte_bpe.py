@@ -115,8 +115,8 @@ class ByteBPE:
             self.forget()
         parts: list[list[str] | None] = []
         for t in texts:
-            # any other white space, and white space in runs or at the ends, makes the counts differ
-            regular = len(t.split()) == t.count(" ") + t.count("\n") + 1 and "<|" not in t and "\0" not in t
+            # any other white space, and white space in runs or at the ends, would come out changed
+            regular = t != "" and " ".join(t.split()) == t.replace("\n", " ") and "<|" not in t and "\0" not in t
             parts.append(t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if regular else None)
         place = self.place
         new = {p for ps in parts if ps for p in ps if p not in place}

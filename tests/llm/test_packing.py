@@ -21,6 +21,18 @@ def test_ids_are_the_library_s(rows):
         assert a.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+#: Other white space that makes up for a doubled or trailing space or line end in the count of words.
+BALANCED = ["un\u00a0deux\n\ntrois", "a\tb\n\nc", "a\u00a0b\n", "a\tb\tc d", "a\tb  c", " a\tb", "a\u2003b ", "a\r\nb\tc", "\n", " ", "\t", "a\u0085b\n\nc d"]
+
+
+def test_other_white_space_goes_to_the_library():
+    coder = byte_bpe.ByteBPE(PATH)
+    for texts in (BALANCED, *([t] for t in BALANCED)):
+        for a, t in zip(coder.encode(texts), texts):
+            assert a.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert not any(set("\t\r\u00a0\u0085\u2003") & set(p) or p == "" for p in coder.place)
+
+
 def test_memory_is_bounded(monkeypatch, rows):
     monkeypatch.setattr(byte_bpe, "MOST_PARTS", 50)
     coder = byte_bpe.ByteBPE(PATH)
