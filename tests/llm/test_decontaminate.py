@@ -54,6 +54,28 @@ def test_recall(items, rows, rate, least):
     assert hit >= least * total > 0
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.2])
+@pytest.mark.parametrize("length", [12, 20, 35, 50, 65, 90, 120, 200, 400])
+def test_recall_by_length(items, rows, length, rate):
+    """Scattered edits, as many as the rate says; lengths below the benchmark's are beginnings of its items."""
+    raws = sorted({dc.normal(t)[: length if length < 80 else None] for _, t in items}, key=lambda r: abs(len(r) - length))[:12]
+    known, rng = dc.Items([(i, r.decode()) for i, r in enumerate(raws)], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(4)
+    hosts = [t for _, t in rows if t and len(t) > 500]
+    hit = total = 0
+    for _ in range(60):
+        i = rng.randrange(len(known.raws))
+        out = list(known.raws[i].decode())
+        for p in rng.sample(range(len(out)), int(rate * len(out) + 1e-9)):
+            out[p] = rng.choice(["", rng.choice("abcdefgh "), out[p] + rng.choice("abcdefgh ")])
+        host = rng.choice(hosts)[:400]
+        text = dc.normal(f"{host} {''.join(out)} {host[::-1]}")
+        if known.distance(i, text) <= known.allowed[i]:
+            total += 1
+            hit += any(x == i for _, x, _, _ in known.held([text]))
+    print(length, rate, hit, total)
+    assert hit >= 0.9 * total > 0
+
+
 def test_query_and_filter(spark, docs, rows, items, sf):
     held = {k for k, t in rows if t and any(dc.normal(x) in dc.normal(t) for _, x in items)}
     leaks = [(92000 + i, f"Before it. {t} After it.") for i, (_, t) in enumerate(items[:10])]
