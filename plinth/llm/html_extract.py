@@ -9,6 +9,7 @@ preferred to its own parts); every line of that region that isn't marked comes o
 
 White space inside a line becomes one space; lines are joined by an empty line. Null, empty and text-free pages give an
 empty text. Unclosed and misnested elements are tolerated: an end tag closes up to its nearest open start, or nothing.
+A head ends at the first thing that can't stand in it, an option at the next one, at a block or at its parent's end.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ BLOCKS = frozenset("address article aside blockquote body center caption dd deta
 SKIPPED = frozenset("script style noscript template head title iframe object svg math canvas select option button textarea".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head may hold; the start of anything else ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+OPTION_PARENTS = frozenset("datalist select optgroup".split())
 PARAGRAPH_ENDS = BLOCKS - {"html", "body"}
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|comments?|respond|replies|disqus|share|sharing|social|related|widget)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu".split())
@@ -51,7 +55,8 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # name, boilerplate from here on, container id
         self.kinds: list[str] = []
         self.parts: list[str] = []
-        self.tags, self.skip, self.skipped = 0, 0, ""
+        self.tags = 0
+        self.skip: list[str] = []  # the open elements of a skipped one, which is the first
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers aren't used."""
@@ -81,13 +86,21 @@ class Lines(HTMLParser):
             self.lines.append(Line(text, self.tags, tuple(i for _, _, i in self.open), bool(self.open) and self.open[-1][1]))
             self.tags = 0
 
+    def ends_skip(self, tag: str) -> bool:
+        """Whether a start tag ends the skipped element, whose end tag may be left out; then nothing is skipped any more."""
+        first = self.skip[0]
+        if first == "head" and (tag == "body" or len(self.skip) == 1 and tag not in IN_HEAD) or first == "option" and (tag in ("option", "optgroup") or tag in BLOCKS):
+            self.skip.clear()
+        return not self.skip
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip:
-            self.skip += tag == self.skipped
+        if self.skip and not self.ends_skip(tag):
+            if tag not in VOID:
+                self.skip.append(tag)
             return
         if tag in SKIPPED:
             self.tags += 1
-            self.skip, self.skipped = 1, tag
+            self.skip.append(tag)
             if tag in ("head", "title"):
                 self.flush()
             return
@@ -121,9 +134,15 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            if tag == self.skipped:
-                self.skip -= 1
-            return
+            for k in range(len(self.skip) - 1, -1, -1):
+                if self.skip[k] == tag:
+                    del self.skip[k:]
+                    return
+            # the end of an element around the skipped one ends that too
+            around = tag in BLOCKS and (tag != "p" or self.skip[0] == "option") and any(name == tag for name, _, _ in self.open)
+            if not around and not (self.skip[0] == "option" and tag in OPTION_PARENTS):
+                return
+            self.skip.clear()
         if tag in BLOCKS:
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
@@ -132,6 +151,8 @@ class Lines(HTMLParser):
                     return
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():  # text can't stand in a head
+            self.skip.clear()
         if not self.skip:
             self.parts.append(data)
 

@@ -44,6 +44,25 @@ def test_long_page():
     assert len(html_extract.main_text("<article>" + "<p>line of words</p>" * 20000 + "</article>").split("\n\n")) == 20000
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<html><head><title>T</title><meta charset=x><body><p>Some text.</p></body></html>", "Some text."),
+        ("<head><title>T</title><p>Some text.<p>More.", "Some text.\n\nMore."),
+        ("<head><noscript><link rel=x></noscript><script>a < b</script><h1>Some text.</h1></head><p>More.</p>", "Some text.\n\nMore."),
+        ("<head><title>T<body><p>Some text.</p>", "Some text."),
+        ("<head><title>T</title>Some text.<p>More.</p>", "Some text.\n\nMore."),
+        ("<body><p>Some text.</p><datalist><option>A<option>B</datalist><p>More.</p></body>", "Some text.\n\nMore."),
+        ("<body><div><p>Some text.</p><option>A</div><p>More.</p></body>", "Some text.\n\nMore."),
+        ("<body><div><p>Some text.</p><select><option>A<option>B</div><p>More.</p></body>", "Some text.\n\nMore."),
+        ("<body><p>Some text.</p><select><option>A<option>B</select><button><p>C</p></button><p>More.</p></body>", "Some text.\n\nMore."),
+        ("<head><title>T</title><noscript><img src=x></noscript></head><body><p>Some text.</p></body>", "Some text."),
+    ],
+)
+def test_elements_whose_end_is_left_out(page, expected):
+    assert html_extract.main_text(page) == expected
+
+
 def test_fingerprints(spark, docs, rows):
     order = sorted((r for r in rows if r[0] is not None and r[0] != 90005), key=lambda r: -r[0])
     df = spark.createDataFrame(order, "doc_id long, text string")
