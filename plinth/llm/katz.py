@@ -10,12 +10,14 @@ The context of a text's first token is a start mark, that of unknown and unseen
 Words are 64-bit hashes (V words share one by chance in V * V / 2**65 cases). Texts are read once, into batches of local
 word numbers. Each batch sends its distinct words with their counts to the words' partitions, which add them up, number
 them and answer; then its distinct bigrams to the partitions of their contexts, which hold the counts of all bigrams of a
-context, discount them, weigh the backoff and answer with one probability per bigram of the batch. So a frequent word or
-bigram moves once per batch, never once per occurrence, a context's followers lie in one partition in compressed arrays,
-and no table is broadcast; N, V and the counts of counts are all that the driver sees.
+context, weigh the backoff and answer with the count of each bigram of the batch and the total and alpha of each context,
+from which the batch takes the probabilities. So a frequent word or bigram moves once per batch, never once per occurrence,
+a context's followers lie in one partition in compressed arrays, and no table is broadcast; N, V and the counts of counts
+are all that the driver sees. Parts lie by their number in partitions of their own.
 
 Null texts are empty: one end token. Rows with equal keys are scored, and learned from, as often as they come. Without any
-training token every probability is 1.
+training token every probability is 1. An empty table gives an empty one. Long texts are split into tokens by position
+arithmetic and join one batch whole. Columns other than key and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,13 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm._common import cut, flat_bytes, table, text_or_empty
+from plinth.llm._common import cut, flat_bytes, small_batches, table, text_or_empty
 from plinth.llm.quality import remainder
 
 MOST = 5  # counts up to this one are discounted
 BATCH_TOKENS = 1_200_000
-#: Logarithms travel in steps of 2**-20, about a millionth.
-STEPS = float(1 << 20)
 END_WORD = np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -180,7 +180,7 @@ def _number_words(read: DataFrame, parts: int) -> DataFrame:
                 out.append((2, r["batch"], p, _packed(rank[mine] * parts + p + 1, np.uint64), _packed(count[mine], np.uint64), r["c"]))
             yield _rows(out)
 
-    return read.where("kind = 1").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(add, ROW)
+    return read.where("kind = 1").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(add, ROW)
 
 
 class Tokens:
@@ -288,21 +288,21 @@ class Unigrams:
         return np.log10((count + 1) / (self.total + self.words + 1))
 
 
-def bigram_probabilities(context: np.ndarray, follower: np.ndarray, count: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> np.ndarray:
-    """P(follower | context) of bigrams sorted by context. follower: the followers' counts in training, count: the bigrams'."""
+def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return d[np.minimum(count, MOST + 1) * (count <= MOST)] * count
+
+
+def backoff(context: np.ndarray, follower: np.ndarray, count: np.ndarray, d: np.ndarray, unigrams: Unigrams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of bigrams sorted by context: where each context begins, what divides the discounted counts, and alpha. follower: the followers' counts in training, count: the bigrams'."""
     starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    sizes = np.diff(np.append(starts, len(context)))
     lower = unigrams.probability(follower)
-    kept = d[np.minimum(count, MOST + 1) * (count <= MOST)] * count
+    kept = discounted(count, d)
     total = np.add.reduceat(count, starts).astype(float)
     left = total - np.add.reduceat(kept, starts)
     none = (left <= 1e-9 * np.maximum(1, total)) & (total > 0)
-    scale = np.where(none, total / (total + 1), 1.0)
     left = np.where(none, 1 / (total + 1), left / np.maximum(1, total))
     others = 1 - np.add.reduceat(np.where(count > 0, lower, 0), starts)
-    alpha = np.where(total > 0, left / np.maximum(others, 1e-300), 1.0)
-    seen = np.repeat(scale / np.maximum(1, total), sizes) * kept
-    return np.where(count > 0, seen, np.repeat(alpha, sizes) * lower)
+    return starts, np.where(none, total + 1, np.maximum(1, total)), np.where(total > 0, left / np.maximum(others, 1e-300), 1.0)
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2) -> DataFrame:
@@ -318,7 +318,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
     unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
     known = read.where("kind = 0").unionByName(numbered.where("kind = 2"))
     dealt = known.repartition(parts, "batch")
-    bigrams = _bigrams(dealt.sortWithinPartitions("batch"), parts).repartition(parts, "part")
+    bigrams = _bigrams(dealt.sortWithinPartitions("batch"), parts).repartitionById(parts, "part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, group in _groups(batches, "part"):
@@ -334,10 +334,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         for p, group in _groups(batches, "part"):
             merged = Merged(group)
             d = discounts(np.array(group[0]["n"]))
-            logs = np.round(-np.log10(bigram_probabilities(merged.context, merged.follower, merged.count, d, unigrams)) * STEPS).astype(np.uint32)
+            starts, divisor, alpha = backoff(merged.context, merged.follower, merged.count, d, unigrams)
+            context_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(merged.context))))
             first = 0
             for batch, size in zip(merged.batches, merged.sizes):
-                yield _rows([(5, batch, p, _packed(logs[merged.at[first : first + size]], np.uint32), None, None)])
+                mine = merged.at[first : first + size]
+                own = context_of[mine]
+                own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+                yield _rows([(5, batch, p, _packed(merged.count[mine], np.uint64), _packed(np.concatenate([[len(d)], d, divisor[own]]), np.float64), _packed(alpha[own], np.float64))])
                 first += size
 
     answers = with_counts.sortWithinPartitions("part").mapInArrow(answer, ROW)
@@ -349,7 +353,12 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         order, bounds = t.dealt(parts)
         logs = np.zeros(len(order))
         for r in replies.to_pylist():
-            logs[order[bounds[r["part"]] : bounds[r["part"] + 1]]] = _unpacked(r["a"], np.uint32) / -STEPS
+            mine = order[bounds[r["part"]] : bounds[r["part"] + 1]]
+            seen, head, alpha = _unpacked(r["a"], np.uint64).astype(np.int64), _unpacked(r["b"], np.float64), _unpacked(r["c"], np.float64)
+            d, divisor = head[1 : 1 + int(head[0])], head[1 + int(head[0]) :]
+            first = t.number[t.first[mine]]
+            of = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]]))
+            logs[mine] = np.log10(np.where(seen > 0, discounted(seen, d) / divisor[of], alpha[of] * unigrams.probability(t.count[t.second[mine]])))
         counts = t.count[t.local]
         return pa.table(
             {
@@ -368,5 +377,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
 
 
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     return score_texts(table(spark, sf_dir, "documents"))

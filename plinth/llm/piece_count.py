@@ -5,10 +5,12 @@ at which each token ends is kept. Two neighbouring chunks are spliced at a posit
 token boundary that is proven stable: a space after a byte that isn't one. No piece of the vocabulary holds a space mark
 behind another character (checked when the model is loaded), so no merge ever crosses such a place, and what stands on one
 side of it can't change the tokens on the other. Where an overlap has no such place, it is widened, four times each try,
-up to the whole of both chunks, which then become one. If a chunk's tokens don't add up to its bytes (a model that
-normalises its input), nothing is proven and the text is encoded whole.
+up to the whole of both chunks. A chunk without any such place grows in one step to the next one of the text (to its end,
+if there is none, as in scripts without spaces), so each byte is encoded a bounded number of times. If a chunk's tokens
+don't add up to its bytes (a model that normalises its input), nothing is proven and the text is encoded whole.
 
-Null texts count as empty: no bytes, no tokens. Rows repeat as often as they come.
+Null texts count as empty: no bytes, no tokens. Rows, ties and repeated keys included, are counted as often as they come; an
+empty table gives an empty one. Columns other than key and text are never read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -57,10 +59,16 @@ class PieceCounter:
                 i += 1
             return min(i, n)
 
+        stable = np.flatnonzero((data[1:] == 32) & (data[:-1] != 32)) + 1
         total, counted = 0, -1  # counted: tokens that end up to there are in total
         start, end = 0, whole_char(chunk)
         left = self.ends(raw, start, end)
         while left is not None and end < n:
+            ahead = int(np.searchsorted(stable, end))
+            if ahead == np.searchsorted(stable, max(start, counted), side="right"):  # nothing to splice at in the chunk
+                stop = whole_char(min(n, int(stable[ahead]) + chunk)) if ahead < len(stable) else n
+                left, end = self.ends(raw, start, stop), stop
+                continue
             back, splice = overlap, None
             while splice is None:
                 begin = whole_char(max(start, end - back))
@@ -78,7 +86,7 @@ class PieceCounter:
                 else:
                     back *= 4
             if splice is None:
-                stop = whole_char(min(n, end + chunk))
+                stop = whole_char(min(n, 2 * end - start))
                 left, end = self.ends(raw, start, stop), stop
                 continue
             total += int(((left > counted) & (left <= splice)).sum())

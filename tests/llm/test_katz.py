@@ -69,7 +69,7 @@ def test_scores(spark, docs, model, monkeypatch):
     expected = collections.defaultdict(list)
     for k, held, ws in texts:
         base = sum(math.log10((one.get(w, 0) + 1) / (uni.total + uni.words + 1)) for w in ws)
-        expected[k].append((held, len(ws), sum(w in one for w in ws), uni.total, pytest.approx(base, abs=1e-6), pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *ws], ws)), abs=1e-2)))
+        expected[k].append((held, len(ws), sum(w in one for w in ws), uni.total, pytest.approx(base, abs=1e-6), pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *ws], ws)), abs=1e-7, rel=1e-9)))
     got = katz.score_texts(docs).collect()
     assert len(got) == len(texts)
     for r in got:

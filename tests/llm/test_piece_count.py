@@ -18,6 +18,20 @@ def test_spliced_counts(rows, chunk, overlap):
         assert model.count(raw, chunk, overlap) == model.count_whole(raw)
 
 
+def test_long_text_without_spaces():
+    """Each byte is encoded a bounded number of times, whether places to splice at are none, few or late."""
+    import time
+
+    model = piece_count.counter(PATH)
+    base = "".join(chr(0x3042 + (i * i + 7 * i) % 80) for i in range(700_000))
+    for text in (base, base[:300_000] + " x " + base[300_000:], "a b " * 30_000 + base, base + " c d" * 30_000):
+        raw, began = text.encode(), time.process_time()
+        whole = model.count_whole(raw)
+        alone, began = time.process_time() - began, time.process_time()
+        assert model.count(raw) == whole
+        assert time.process_time() - began < 6 * alone + 1
+
+
 def test_query(docs, rows):
     model = piece_count.counter(PATH)
     got = piece_count.count_tokens(docs, PATH, limit=500, chunk=2000, overlap=64).collect()
