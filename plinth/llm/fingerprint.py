@@ -4,11 +4,16 @@ Every five-byte window of a text's UTF-8 bytes gives the triplets (0,1,2), (0,1,
 one of BUCKETS counters. The digest holds, for each bucket, the quartile (0 to 3) that its count falls in, the logarithm of
 the length, the ratios of the quartiles and a checksum of the text, in hexadecimal. The difference of two digests adds, for
 each bucket, the square of the quartile distance, and a bounded term for length and quartile ratios; likeness is 1 at no
-difference and 0 at twice what unrelated digests differ by, and never outside 0 to 1.
+difference and 0 at what unrelated digests differ by (of sparse digests, what digests without a common bucket differ by),
+and never outside 0 to 1.
 
-Null texts are empty; texts of fewer than five bytes have all buckets at 0 and differ by their checksum only. Equal texts
-have equal digests. The edited text of a document takes the start of the next one in descending order of the key; rows
-with equal keys are ordered by text, null keys come last.
+Null texts are empty and have an empty digest; texts of fewer than five bytes are filled up with zero bytes. Equal texts
+have equal digests. Long texts are one pass of array arithmetic. The edited text of a document takes the start of the next
+one in descending order of the key; rows with equal keys are ordered by a hash of the text, null keys come last; a single
+row is its own next one, an empty table gives an empty one. Columns other than key and text are never read.
+
+Rows are dealt out by ranges of (key, text hash) that a bounded random sample of rows sets, so the texts of one hot key
+spread over many ranges; each range ends with a copy of the first row of the next, one row a range.
 """
 
 from __future__ import annotations
@@ -34,9 +39,9 @@ def digest(raw: bytes) -> str:
     n = len(raw)
     head = f"{min(255, int(np.log2(n + 1) * 8)):02x}"
     check = f"{zlib.crc32(raw):08x}"
-    if n < 5:
+    if n == 0:
         return f"{head}0000{check}{'00' * (BUCKETS // 4)}"
-    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    b = np.frombuffer(raw.ljust(5, b"\0"), np.uint8).astype(np.uint32)
     a = b[:-4] * np.uint32(0x9E3779B1)
     two = b * np.uint32(0x85EBCA77)
     three = b * np.uint32(0xC2B2AE3D)
@@ -61,8 +66,9 @@ def likeness(a: str, b: str) -> float:
     """1 for equal digests, 0 for unrelated or opposite ones."""
     if a == b:
         return 1.0
-    d = codes(a) - codes(b)
-    score = float((d * d).sum()) / (BUCKETS * UNRELATED)
+    x, y = codes(a), codes(b)
+    d = x - y
+    score = float((d * d).sum()) / max(1.0, min(BUCKETS * UNRELATED, float((x * x).sum() + (y * y).sum())))
     score += min(8, abs(int(a[:2], 16) - int(b[:2], 16))) / 160
     score += (min(64, abs(int(a[2:4], 16) - int(b[2:4], 16))) + min(64, abs(int(a[4:6], 16) - int(b[4:6], 16)))) / 2560
     score += 0.005 * (a[6:14] != b[6:14])
@@ -70,80 +76,69 @@ def likeness(a: str, b: str) -> float:
 
 
 LAST = -(2**63)  # stands for a null key
+#: Rows of the sample for each range.
+SAMPLE = 64
 
 
-def _place(bounds: list[int]):
-    """The range of a key: how many bounds lie above it, by binary search."""
-    edges = np.array(sorted(bounds), np.int64)
-
-    @F.pandas_udf("int")
-    def place(key: pd.Series) -> pd.Series:
-        return pd.Series((len(edges) - np.searchsorted(edges, key.to_numpy(np.int64), side="right")).astype(np.int32))
-
-    return place
+def _place(bounds: list[tuple[int, int]]):
+    """The range of a row: how many bounds (place, hash) don't lie behind it, by binary search over 16 bytes in order."""
+    edges = np.array(bounds, np.int64).reshape(-1, 2)
 
+    def marks(place: np.ndarray, hash_: np.ndarray) -> np.ndarray:
+        both = np.stack([place, hash_], axis=1).astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+        return np.ascontiguousarray(both.astype(">u8")).view("S16").ravel()
 
-def _before(heads: dict[int, int], before: dict[int, int]):
-    """Of a range's first key the range that precedes it, -1 for other keys."""
-    ranges = np.array(sorted(heads), np.int64)
-    keys, to = np.array([heads[r] for r in sorted(heads)], np.int64), np.array([before[r] for r in sorted(heads)], np.int32)
+    known = marks(edges[:, 0], edges[:, 1])
 
     @F.pandas_udf("int")
-    def target(bucket: pd.Series, key: pd.Series) -> pd.Series:
-        at = np.searchsorted(ranges, bucket.to_numpy(np.int64))
-        return pd.Series(np.where(keys[at] == key.to_numpy(np.int64), to[at], -1).astype(np.int32))
+    def place(at: pd.Series, hash_: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known, marks(at.to_numpy(np.int64), hash_.to_numpy(np.int64)), side="right").astype(np.int32))
 
-    return target
+    return place
 
 
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next for every row of docs."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key_or_last = F.coalesce("__key", F.lit(LAST))
     rows = docs.select(F.col(key).cast("long").alias("__key"), text_or_empty(text).alias("__text"))
-    # ranges of descending keys by approximate quantiles: a bounded list. Only whole rows move, once.
-    quantiles = F.array(*(F.lit(i / parts) for i in range(1, parts)))
-    found = rows.select(F.percentile_approx("__key", quantiles, 10 * parts).alias("b")).first()["b"] if parts > 1 else None
-    bounds = sorted(set(found or []))
-    n = len(bounds) + 1
-    rows = rows.withColumn("__bucket", _place(bounds)(key_or_last))
-    # the first key of each range: n rows at most. That row comes again at the end of the range before
-    heads = {r["__bucket"]: r["k"] for r in rows.groupBy("__bucket").agg(F.max(key_or_last).alias("k")).collect()}
+    # the place: keys in descending order, null last
+    rows = rows.withColumns({"__at": F.bitwise_not(F.coalesce("__key", F.lit(LAST))), "__hash": F.xxhash64("__text")})
+    sample = rows.select("__at", "__hash").orderBy(F.rand(11)).limit(SAMPLE * parts).collect() if parts > 1 else []
+    drawn = sorted((r["__at"], r["__hash"]) for r in sample)
+    rows = rows.withColumn("__bucket", _place(sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else [])("__at", "__hash"))
+    # the first row of each range, again at the end of the range before: as many rows as ranges, known by place and hash
+    heads = {r["__bucket"]: r["h"] for r in rows.groupBy("__bucket").agg(F.min(F.struct("__at", "__hash")).alias("h")).collect()}
     used = sorted(heads)
-    rows = rows.withColumn("__tail", F.lit(0))
     if used:
-        target = _before(heads, {b: used[i - 1] for i, b in enumerate(used)})
-        copies = rows.withColumn("__to", target("__bucket", key_or_last)).where("__to >= 0")
-        rows = rows.unionByName(copies.select("__key", "__text", F.col("__to").alias("__bucket"), F.lit(1).alias("__tail")))
-    dealt = rows.repartition(max(n, 1), "__bucket").sortWithinPartitions(F.col("__bucket"), F.col("__tail"), F.col("__key").desc_nulls_last(), F.col("__text"))
+        to = spark.createDataFrame([(used[i - 1], *heads[b]) for i, b in enumerate(used)], "__to int, __at bigint, __hash bigint")
+        copies = rows.join(F.broadcast(to), ["__at", "__hash"]).groupBy("__to", "__at", "__hash").agg(F.min(F.struct("__text", "__key")).alias("r"))
+        tails = copies.select(F.col("r.__key").alias("__key"), F.col("r.__text").alias("__text"), "__at", "__hash", F.col("__to").alias("__bucket"), F.lit(1).alias("__tail"))
+        rows = rows.withColumn("__tail", F.lit(0)).unionByName(tails)
+    else:
+        rows = rows.withColumn("__tail", F.lit(0))
+    dealt = rows.repartitionById(max(parts, len(used), 1), "__bucket").sortWithinPartitions("__bucket", "__tail", "__at", "__hash", "__text")
     schema = f"`{key}` bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # bucket, key, text, fingerprint of the row that waits for its next one
-        closed = -1
+        held = None  # key, text, fingerprint of the row that waits for its next one
         names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         for batch in batches:
             out: list[tuple] = []
-            for bucket, k, t, tail in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__bucket", "__key", "__text", "__tail"))):
-                if tail and bucket == closed:
-                    continue  # of several rows with the range's first key, the first one counts
+            for k, t, tail in zip(*(c.to_pylist() for c in batch.columns)):
                 mark = digest(t.encode())
                 if held is not None:
-                    _, k0, t0, mark0 = held
+                    k0, t0, mark0 = held
                     cut = len(t0) // 3
                     edited = (t0[: len(t0) - cut] + t[:cut]).encode()
                     mark1 = digest(edited)
                     out.append((k0, len(t0), hashlib.sha256(edited).hexdigest(), mark0, mark1, likeness(mark0, mark1), likeness(mark0, mark)))
-                if tail:
-                    closed, held = bucket, None
-                else:
-                    held = (bucket, k, t, mark)
+                held = None if tail else (k, t, mark)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
 
-    return dealt.select("__bucket", "__key", "__text", "__tail").mapInArrow(compare, schema)
+    return dealt.select("__key", "__text", "__tail").mapInArrow(compare, schema)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

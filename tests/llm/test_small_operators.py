@@ -3,6 +3,7 @@
 import hashlib
 import html
 import itertools
+import math
 import re
 import zlib
 
@@ -80,6 +81,46 @@ def test_fingerprints(spark, docs, rows):
     assert len(repeated) == len(rows)
 
 
+def slow_digest(raw):
+    """The digest by its definition: a dictionary of bucket counts, one triplet after another."""
+    padded, check = raw.ljust(5, b"\0") if raw else b"", zlib.crc32(raw)
+    counts = [0] * 256
+    for i in range(max(0, len(padded) - 4)):
+        w = padded[i : i + 5]
+        for salt, (a, b, c) in ((0x1B873593, (0, 1, 2)), (0x2545F491, (0, 1, 3)), (0x5851F42D, (0, 2, 4)), (0x14057B7E, (0, 1, 4))):
+            mixed = (w[a] * 0x9E3779B1 + w[b] * 0x85EBCA77 + w[c] * 0xC2B2AE3D) % 2**32
+            counts[((mixed ^ salt) * 0x27D4EB2F % 2**32) >> 24] += 1
+    q1, q2, q3 = (sorted(counts)[k] for k in (63, 127, 191))
+    quartile = [sum(c > q for q in (q1, q2, q3)) for c in counts]
+    packed = bytes(sum(quartile[i + k] << 2 * k for k in range(4)) for i in range(0, 256, 4))
+    return f"{min(255, int(math.log2(len(raw) + 1) * 8)):02x}{q1 * 255 // max(1, q3):02x}{q2 * 255 // max(1, q3):02x}{check:08x}{packed.hex()}", quartile, (q1 * 255 // max(1, q3), q2 * 255 // max(1, q3))
+
+
+def test_fingerprints_by_definition(rows):
+    texts = [b"", b"a", b"abc", b"abcd", b"abcde", b"wxyz", "é漢".encode(), b"a" * 300, *((t or "").encode()[:3000] for _, t in rows[:40])]
+    slow = [slow_digest(t) for t in texts]
+    assert [fingerprint.digest(t) for t in texts] == [d for d, *_ in slow]
+    for (a, qa, ra), ta in zip(slow, texts):
+        for (b, qb, rb), tb in zip(slow, texts):
+            bound = min(640.0, sum(x * x for x in qa) + sum(y * y for y in qb))
+            score = sum((x - y) ** 2 for x, y in zip(qa, qb)) / max(1.0, bound)
+            score += min(8, abs(int(a[:2], 16) - int(b[:2], 16))) / 160 + sum(min(64, abs(x - y)) for x, y in zip(ra, rb)) / 2560 + 0.005 * (ta != tb)
+            expected = 1.0 if ta == tb else max(0.0, 1 - score)
+            assert fingerprint.likeness(a, b) == pytest.approx(expected, abs=1e-12)
+    assert fingerprint.likeness(fingerprint.digest(b""), fingerprint.digest(b"abc")) < 0.1
+    assert fingerprint.likeness(fingerprint.digest(b"abcd"), fingerprint.digest(b"wxyz")) < 0.1
+
+
+def test_a_hot_key_is_split(spark):
+    """Half of all rows share a key: order by key, then hash of the text; every row once, each with its next one."""
+    rows = [(7, f"text number {i}") for i in range(300)] + [(None, f"null {i}") for i in range(100)] + [(i, f"other {i}") for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", fingerprint.F.xxhash64("text"))
+    order = sorted(((r.doc_id, r.text, r.h) for r in df.collect()), key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[2]))
+    got = sorted((r.doc_id is None, r.doc_id, r.edited_sha256) for r in fingerprint.fingerprint_documents(df).collect())
+    edited = lambda t, u: hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
+    assert got == sorted((k is None, k, edited(t, u)) for (k, t, _), (_, u, _) in zip(order, order[1:] + order[:1]))
+
+
 def test_fingerprint_of_few_rows(spark, none):
     assert fingerprint.fingerprint_documents(none).count() == 0
     r = fingerprint.fingerprint_documents(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
@@ -123,6 +164,21 @@ def test_quality_of_odd_rows(spark, docs, rows, none):
     assert quality.train(docs, labels.where("quality = 1")).constant == 1.0
     assert quality.train(none, labels.where("false")).constant == 0.5
     assert quality.with_score(none, model).count() == 0
+    few = quality.train(docs, labels, most_docs=40, most_lines=30)
+    assert few.weights.shape == model.weights.shape or few.constant is not None
+
+
+def test_lines_are_labelled(spark):
+    """A document of good lines with a block of junk: the field tells the lines apart."""
+    sf = "/root/testdata/sf0.01"
+    documents, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.train(documents, labels)
+    text = {r.quality: r.text for r in documents.join(labels, "doc_id").where("n_chars between 800 and 3000").select("quality", "text").collect()}
+    whole = text[1].replace("\n", " ")
+    lines = [whole[i : i + 150] for i in range(0, len(whole), 150)]
+    junk = ["| $$ ## || %% $$ | >>> 88 77 || ## $$ @@ {{ }} [[ ]]"] * len(lines)
+    found, count, good = quality.scores(model, pa.array(["\n".join(lines + junk), text[1], text[0]]))
+    assert count[0] == 2 * len(lines) and 1 <= good[0] < count[0] and found[1] > 0.5 > found[2]
 
 
 URLS = [None, "", "no scheme/", "http://", "HTTP://A.NET", "http://a.NET/", "http://net/x", "http://xnet/x", "http://example.net/en/1?q", "http://b.example.net/en", "http://example.net/EN/", "http://example.com/de/#x", "http://my-example.com/de/", "http://x.org/fr/", "http://x.org?/fr/", "http://x.com/a.net/", "http://net/" + "a" * 100000, "ftp://u@h.net:80/", "http://É.net/é"]
