@@ -64,6 +64,73 @@ def test_elements_whose_end_is_left_out(page, expected):
     assert html_extract.main_text(page) == expected
 
 
+SOUP = "<body><div><ul>" + "".join(f"<li><a href='/{i}'>Item {i}</a></li>" for i in range(8)) + "</ul></div><div><h1>A title of some words</h1>" + "".join(f"<p>{'Paragraph of many words. ' * 9}</p>" for _ in range(2)) + "</div><div>" + "".join(f"<p>{'Paragraph of many words. ' * 9}</p>" for _ in range(2)) + "<p>Short end.</p></div><div><ul>" + "".join(f"<li><a href='/x{i}'>More {i}</a></li>" for i in range(9)) + "</ul></div></body>"
+
+
+def slow_cluster(lines, sigma):
+    """Ratio, smoothing and threshold by their definitions."""
+    ratio = [len(text) / max(1, tags) for text, tags, *_ in lines]
+    reach, smooth = max(1, math.ceil(3 * sigma)), []
+    for i in range(len(ratio)):
+        weights = {j: math.exp(-0.5 * ((i - j) / sigma) ** 2) for j in range(max(0, i - reach), min(len(ratio), i + reach + 1))}
+        smooth.append(sum(w * ratio[j] for j, w in weights.items()) / sum(weights.values()))
+    mean = sum(smooth) / len(smooth)
+    bound = min(mean, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    return [x >= bound for x in smooth]
+
+
+@pytest.mark.parametrize("sigma", [0.5, 1.0, 2.0])
+def test_clusters_by_definition(spark, sf, sigma):
+    pages = [SOUP, *(r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(20).collect())]
+    for page in pages:
+        lines = html_extract.read_lines(page).lines
+        got = html_extract.content_cluster(np.array([len(x[0]) for x in lines]), np.array([x[1] for x in lines]), sigma)
+        assert got.tolist() == slow_cluster(lines, sigma)
+
+
+def test_clusters_choose_the_text(monkeypatch):
+    """Without names to go by, menus before and after the text go by their ratios; other clusters give other texts."""
+    text = "\n\n".join(["A title of some words", *["Paragraph of many words. " * 8 + "Paragraph of many words."] * 4, "Short end."])
+    assert html_extract.main_text(SOUP) == text
+    for fake in (lambda n, t, s: n > 0, lambda n, t, s: n < 0, lambda n, t, s: np.arange(len(n)) % 2 == 0, lambda n, t, s: n < 30):
+        monkeypatch.setattr(html_extract, "content_cluster", fake)
+        assert html_extract.main_text(SOUP) != text
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><p>One.</p><div class='social-science'><p>Two.</p></div><ul id='share-prices'><li>3</ul><div class='x cookie-notice'>no</div><div id='comments'>no</div><header><h2>Own</h2></header></article>", "One.\n\nTwo.\n\n3\n\nOwn"),
+        ("<header>no</header><article><p>One.</p></article><div class='site-header'>no</div>", "One."),
+        ("<body><button>Click<p>Some text.</p><p>More.</p></body>", "Some text.\n\nMore."),
+        ("<body><p>Some text.<button>no</button> On.</p><p>More.<svg><text>no</p><p>End.</body>", "Some text. On.\n\nMore.\n\nEnd."),
+    ],
+)
+def test_names_and_unclosed_buttons(page, expected):
+    assert html_extract.main_text(page) == expected
+
+
+def test_deep_nests_take_linear_time():
+    import time
+
+    began = time.process_time()
+    deep = html_extract.main_text("<div>" * 100_000 + "<p>Some text.</p>" + "</div>" * 100_000)
+    unmatched = html_extract.main_text("<div>" * 50_000 + "</section>" * 50_000 + "<p>Some text.</p>")
+    buttons = html_extract.main_text("<p>Some text.</p>" + "<button>a<select>b<svg>" * 20_000)
+    assert deep == unmatched == "Some text." and buttons.startswith("Some text.") and time.process_time() - began < 20
+
+
+def test_pages_table(spark):
+    rows = [(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (None, None, None), (3, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    clash = pages.selectExpr("*", "1 AS text", "2 AS n_chars", "3 AS __html")
+    for df in (pages, clash):
+        assert sorted(map(tuple, html_extract.extract_main_text(df).collect()), key=repr) == sorted([(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "", 0), (3, "u", "", 0)], key=repr)
+    assert html_extract.extract_main_text(pages.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        html_extract.extract_main_text(clash, keep=("text",))
+
+
 def test_fingerprints(spark, docs, rows):
     order = sorted((r for r in rows if r[0] is not None and r[0] != 90005), key=lambda r: -r[0])
     df = spark.createDataFrame(order, "doc_id long, text string")
