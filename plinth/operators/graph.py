@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +14,11 @@ from plinth.operators.binning import neighbours
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (local tests)."""
+    """spark.checkpoint.dir, or a temporary folder where it is unset and all is one process (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = f"file://{tempfile.mkdtemp(prefix='plinth-')}"
         found = shared_dir.own
@@ -52,18 +56,66 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     raise RuntimeError("labels haven't settled")
 
 
-def grow(cells: DataFrame, seeds: DataFrame, keys: list[str], value: str, local: float, total: float, most_rounds: int = 1000) -> DataFrame:
-    """Cells reached from seeds over neighbours whose values differ by at most local, and by at most total from their key's median seed value."""
-    middle = cells.join(seeds.select(*keys, "bx", "by").distinct(), [*keys, "bx", "by"]).groupBy(*keys).agg(F.median(value).alias("__mid"))
-    allowed = cut(cells.join(middle, keys).where(F.abs(F.col(value) - F.col("__mid")) <= total).select(*keys, "bx", "by", value), "allowed")
-    reached = cut(allowed.join(seeds.select(*keys, "bx", "by").distinct(), [*keys, "bx", "by"], "left_semi"), "reached")
-    front = reached
-    for _ in range(most_rounds):
-        other = allowed.withColumnRenamed(value, "__ov")
-        found = neighbours(front, other.withColumn("__ox", F.col("bx")).withColumn("__oy", F.col("by")), keys, 1, centre=False)
-        found = found.where(F.abs(F.col(value) - F.col("__ov")) <= local).select(*keys, F.col("__ox").alias("bx"), F.col("__oy").alias("by"), F.col("__ov").alias(value)).distinct()
-        front = cut(found.join(reached.select(*keys, "bx", "by"), [*keys, "bx", "by"], "left_anti"), "front")
-        if front.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(front), "reached")
-    raise RuntimeError("growth hasn't settled")
+def _touching(bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of the cells that touch, each once."""
+    width = int(by.max() - by.min()) + 3
+    code = (bx - bx.min()) * width + (by - by.min()) + 1
+    order = np.argsort(code, kind="stable")
+    found = code[order]
+    one, other = [], []
+    for step in (1, width - 1, width, width + 1):
+        at = np.minimum(np.searchsorted(found, code + step), len(found) - 1)
+        hit = np.flatnonzero(found[at] == code + step)
+        one.append(hit)
+        other.append(order[at[hit]])
+    return np.concatenate(one), np.concatenate(other)
+
+
+def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the least node that it is connected with."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+        if (label == before).all() and (label[a] == label[b]).all():
+            return label
+
+
+def frame_components(cells: DataFrame, frame: str, value: str | None = None, most: float | None = None) -> DataFrame:
+    """id, label of all cells (frame, bx, by, id): the least id of the touching cells that a cell hangs together with; with ``value``, over steps of ``most`` at most.
+
+    A component never leaves its frame, and a frame is a lattice of bounded size, so each is labelled in one task, with one
+    exchange for all. Edges that cross keys, or graphs without bound, take ``components``.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values("id")
+        ids = g["id"].to_numpy()
+        a, b = _touching(g["bx"].to_numpy(), g["by"].to_numpy())
+        if value:
+            v = g[value].to_numpy()
+            near = np.abs(v[a] - v[b]) <= most
+            a, b = a[near], b[near]
+        return pd.DataFrame({"id": ids, "label": ids[_least_labels(len(ids), a, b)]})
+
+    return cells.select(frame, "bx", "by", "id", *([value] if value else [])).groupBy(frame).applyInPandas(run, "id long, label long")
+
+
+def frame_growth(cells: DataFrame, frame: str, value: str, local: float, total: float) -> DataFrame:
+    """Cells of each frame reached from its seeds (seed: boolean) over touching cells whose values differ by ``local`` at most, and by ``total`` from the seeds' median."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        v, seed = group[value].to_numpy(), group["seed"].to_numpy(bool)
+        empty = group[[frame, "bx", "by"]].iloc[:0]
+        if not seed.any():
+            return empty
+        allowed = np.abs(v - np.median(v[seed])) <= total
+        a, b = _touching(group["bx"].to_numpy(), group["by"].to_numpy())
+        near = allowed[a] & allowed[b] & (np.abs(v[a] - v[b]) <= local)
+        label = _least_labels(len(v), a[near], b[near])
+        return group.loc[np.isin(label, label[seed & allowed]) & allowed, [frame, "bx", "by"]]
+
+    return cells.select(frame, "bx", "by", value, "seed").groupBy(frame).applyInPandas(run, f"{frame} long, bx long, by long")

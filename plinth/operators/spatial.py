@@ -44,15 +44,29 @@ def knn_vote(queries: DataFrame, bank: DataFrame, query_id: str, bank_id: str, f
     return near.select(query_id, F.aggregate("__n", F.lit(0.0), lambda a, r: a + r["l"], lambda a: a / F.size("__n")).alias("score"))
 
 
-def kernel_overlap(fixed: DataFrame, moving: DataFrame, cls: str, reach: float) -> DataFrame:
-    """Class-wise sum of w_i w_j N(m_i - m_j; 0, S_i + S_j) over pairs within reach (components mx, my, sxx, sxy, syy, weight)."""
+#: A Gaussian is below the last bit of a double, relative to its peak, at so many standard deviations.
+VANISHES = 8.8
+
+
+def full_reach(fixed: DataFrame, moving: DataFrame) -> float:
+    """The distance beyond which no pair of components adds a bit to a sum: one aggregate row, of the widest components."""
+    wide = lambda df: df.agg(F.max(F.col("sxx") + F.col("syy")).alias("w")).first()["w"] or 0.0
+    return VANISHES * math.sqrt(wide(fixed) + wide(moving)) or 1.0
+
+
+def kernel_overlap(fixed: DataFrame, moving: DataFrame, cls: str, reach: float | None = None) -> DataFrame:
+    """Class-wise sum of w_i w_j N(m_i - m_j; 0, S_i + S_j) over all pairs (components mx, my, sxx, sxy, syy, weight).
+
+    Pairs that are so far apart that their density is nil in double precision are left out by a hash grid of that reach.
+    """
+    reach = reach or full_reach(fixed, moving)
     a = fixed.select(cls, F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "syy", "weight")
     b = moving.select(cls, F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "syy", "weight")
     p = radius_pairs(a, b, [cls], reach)
     xx, xy, yy = F.col("sxx") + F.col("r_sxx"), F.col("sxy") + F.col("r_sxy"), F.col("syy") + F.col("r_syy")
     det, dx, dy = xx * yy - xy * xy, F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y")
     m = (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det
-    return p.groupBy(cls).agg(F.sum(F.col("weight") * F.col("r_weight") * F.exp(-0.5 * m) / (2 * math.pi * F.sqrt(det))).alias("overlap"), F.count("*").alias("pairs"))
+    return p.groupBy(cls).agg(F.sum(F.col("weight") * F.col("r_weight") * F.exp(-0.5 * m) / (2 * math.pi * F.sqrt(det))).alias("overlap"))
 
 
 def field_index(components: DataFrame, cell: float, sigmas: float, most_cells: int = 10_000) -> DataFrame:
@@ -80,12 +94,13 @@ def field_query(points: DataFrame, index: DataFrame, point_id: str, cls: str, ce
     return points.select(point_id).join(hits, point_id, "left").select(point_id, F.coalesce("intensity", F.lit(0.0)).alias("intensity"), F.coalesce("components", F.lit(0)).alias("components"))
 
 
-def covered(points: DataFrame, tiles: DataFrame, point_id: str, tile: float) -> DataFrame:
-    """in_coverage: whether a point lies in one of the tiles (tx, ty), closed bounds: a point on an edge counts for both."""
+def covered(points: DataFrame, tiles: DataFrame, point_id: str, tile: float, keys: list[str] | None = None) -> DataFrame:
+    """in_coverage: whether a point lies in one of its key's tiles (tx, ty), closed bounds: a point on an edge counts for both."""
+    keys = keys or []
     near = F.array_distinct(F.array(F.floor(F.col("x") / tile).cast("long"), (F.ceil(F.col("x") / tile) - 1).cast("long")))
     near_y = F.array_distinct(F.array(F.floor(F.col("y") / tile).cast("long"), (F.ceil(F.col("y") / tile) - 1).cast("long")))
-    spread = points.select(point_id, F.explode(near).alias("tx"), near_y.alias("__y")).select(point_id, "tx", F.explode("__y").alias("ty"))
-    hit = spread.join(tiles.select("tx", "ty").distinct(), ["tx", "ty"], "left_semi").select(point_id).distinct().withColumn("in_coverage", F.lit(True))
+    spread = points.select(*keys, point_id, F.explode(near).alias("tx"), near_y.alias("__y")).select(*keys, point_id, "tx", F.explode("__y").alias("ty"))
+    hit = spread.join(tiles.select(*keys, "tx", "ty").distinct(), [*keys, "tx", "ty"], "left_semi").select(point_id).distinct().withColumn("in_coverage", F.lit(True))
     return points.select(point_id).join(hit, point_id, "left").select(point_id, F.coalesce("in_coverage", F.lit(False)).alias("in_coverage"))
 
 

@@ -96,22 +96,23 @@ def seed_height(spark, sf):
     return points(spark, sf).groupBy("frame").agg(rnd(F.coalesce(F.median(F.when((x < 2) & (F.col("z") < 0.01), y)), F.median(F.when(x < 5, y)), F.median(y)), 6).alias("seed"))
 
 
-@query("component_support", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x=' AND abs(a.v - b.v) <= 6')}, l AS (SELECT id, min(label) AS label FROM r GROUP BY id) SELECT label, count(*) AS cells, sum(n)::BIGINT AS points FROM l JOIN i USING (id) GROUP BY label HAVING count(*) >= 2 AND sum(n) >= 10 AND max(bx) - min(bx) >= 1")
+@query("component_support", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x=' AND abs(a.v - b.v) <= 2')}, l AS (SELECT id, min(label) AS label FROM r GROUP BY id) SELECT label, count(*) AS cells, sum(n)::BIGINT AS points FROM l JOIN i USING (id) GROUP BY label HAVING count(*) >= 2 AND sum(n) >= 4 AND max(bx) - min(bx) >= 1")
 def component_support(spark, sf):
     m = graph.cut(marked(spark, sf), "cells")
-    labels = graph.components(m.select("id"), graph.lattice_edges(m, ["frame"], 1, "v", 6.0))
+    labels = graph.frame_components(m, "frame", "v", 2.0)
     g = labels.join(m, "id").groupBy("label").agg(F.count("*").alias("cells"), F.sum("n").alias("points"), (F.max("bx") - F.min("bx")).alias("reach"))
-    return g.where("cells >= 2 AND points >= 10 AND reach >= 1").drop("reach")
+    return g.where("cells >= 2 AND points >= 4 AND reach >= 1").drop("reach")
 
 
-_PAIRS = f"{COMP}, p AS (SELECT a.cls, a.weight * b.weight AS w, a.sxx + b.sxx AS xx, a.sxy + b.sxy AS xy, a.syy + b.syy AS yy, a.mx - b.mx AS dx, a.my - b.my AS dy FROM c a JOIN c b ON a.cls = b.cls AND a.frame < 50 AND b.frame >= 50 AND (a.mx - b.mx)**2 + (a.my - b.my)**2 <= 9), d AS (SELECT *, xx*yy - xy*xy AS det FROM p), k AS (SELECT *, w * exp(-0.5 * (yy*dx*dx - 2*xy*dx*dy + xx*dy*dy) / det) / (2 * pi() * sqrt(det)) AS k FROM d)"
+_PAIRS = f"{COMP}, p AS (SELECT a.cls, a.weight * b.weight AS w, a.sxx + b.sxx AS xx, a.sxy + b.sxy AS xy, a.syy + b.syy AS yy, a.mx - b.mx AS dx, a.my - b.my AS dy FROM c a JOIN c b ON a.cls = b.cls AND a.frame < 50 AND b.frame >= 50), d AS (SELECT *, xx*yy - xy*xy AS det FROM p), k AS (SELECT *, w * exp(-0.5 * (yy*dx*dx - 2*xy*dx*dy + xx*dy*dy) / det) / (2 * pi() * sqrt(det)) AS k FROM d)"
 
 
 @query("overlap_gradient", f"{_PAIRS} SELECT cls, round(sum(k * (yy*dx - xy*dy) / det), 5) AS gx, round(sum(k * (xx*dy - xy*dx) / det), 5) AS gy, round(sum(k * yy / det), 5) AS hxx, round(sum(-k * xy / det), 5) AS hxy, round(sum(k * xx / det), 5) AS hyy FROM k GROUP BY cls")
 def overlap_gradient(spark, sf):
     c = comps(spark, sf)
     cols = [F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "syy", "weight"]
-    p = spatial.radius_pairs(c.where("frame < 50").select("cls", *cols), c.where("frame >= 50").select("cls", *cols), ["cls"], 3.0)
+    a, b = c.where("frame < 50"), c.where("frame >= 50")
+    p = spatial.radius_pairs(a.select("cls", *cols), b.select("cls", *cols), ["cls"], spatial.full_reach(a, b))
     xx, xy, yy = (F.col(s) + F.col(f"r_{s}") for s in ("sxx", "sxy", "syy"))
     p = p.select("cls", (F.col("x") - F.col("r_x")).alias("dx"), (F.col("y") - F.col("r_y")).alias("dy"), xx.alias("xx"), xy.alias("xy"), yy.alias("yy"), (xx * yy - xy * xy).alias("det"), (F.col("weight") * F.col("r_weight")).alias("w"))
     p = p.withColumn("k", F.col("w") * F.expr("exp(-0.5 * (yy*dx*dx - 2*xy*dx*dy + xx*dy*dy) / det)") / (2 * math.pi * F.sqrt("det")))
@@ -119,14 +120,14 @@ def overlap_gradient(spark, sf):
     return p.groupBy("cls").agg(*(rnd(F.sum(F.expr(e)), 5).alias(n) for n, e in sums.items()))
 
 
-_SELF = "SELECT a.cls, sum(a.weight * b.weight * exp(-0.5 * ((a.syy+b.syy)*(a.mx-b.mx)**2 - 2*(a.sxy+b.sxy)*(a.mx-b.mx)*(a.my-b.my) + (a.sxx+b.sxx)*(a.my-b.my)**2) / ((a.sxx+b.sxx)*(a.syy+b.syy) - (a.sxy+b.sxy)**2)) / (2 * pi() * sqrt((a.sxx+b.sxx)*(a.syy+b.syy) - (a.sxy+b.sxy)**2))) AS o FROM c a JOIN c b ON a.cls = b.cls AND (a.mx - b.mx)**2 + (a.my - b.my)**2 <= 9 WHERE {x} GROUP BY a.cls"
+_SELF = "SELECT a.cls, sum(a.weight * b.weight * exp(-0.5 * ((a.syy+b.syy)*(a.mx-b.mx)**2 - 2*(a.sxy+b.sxy)*(a.mx-b.mx)*(a.my-b.my) + (a.sxx+b.sxx)*(a.my-b.my)**2) / ((a.sxx+b.sxx)*(a.syy+b.syy) - (a.sxy+b.sxy)**2)) / (2 * pi() * sqrt((a.sxx+b.sxx)*(a.syy+b.syy) - (a.sxy+b.sxy)**2))) AS o FROM c a JOIN c b ON a.cls = b.cls WHERE {x} GROUP BY a.cls"
 
 
 @query("class_similarity", f"{COMP}, f AS ({_SELF.format(x='a.frame < 50 AND b.frame < 50')}), m AS ({_SELF.format(x='a.frame >= 50 AND b.frame >= 50')}), x AS ({_SELF.format(x='a.frame < 50 AND b.frame >= 50')}) SELECT cls, round(x.o / sqrt(f.o * m.o), 6) AS similarity FROM f JOIN m USING (cls) JOIN x USING (cls)")
 def class_similarity(spark, sf):
     c = comps(spark, sf)
     a, b = c.where("frame < 50"), c.where("frame >= 50")
-    o = {n: spatial.kernel_overlap(p, q, "cls", 3.0).select("cls", F.col("overlap").alias(n)) for n, p, q in (("f", a, a), ("m", b, b), ("x", a, b))}
+    o = {n: spatial.kernel_overlap(p, q, "cls").select("cls", F.col("overlap").alias(n)) for n, p, q in (("f", a, a), ("m", b, b), ("x", a, b))}
     return o["f"].join(o["m"], "cls").join(o["x"], "cls").select("cls", rnd(F.col("x") / F.sqrt(F.col("f") * F.col("m")), 6).alias("similarity"))
 
 
@@ -185,6 +186,6 @@ def first_best_eps(spark, sf):
 def rigid_alignment(spark, sf):
     from plinth.operators.align import rigid_alignment as align
 
-    p = points(spark, sf).where("frame <= 5").select(F.col("x"), F.col("y"), F.col("z"), (F.cos(F.lit(0.3)) * F.col("x") - F.sin(F.lit(0.3)) * F.col("y") + 5).alias("u"), (F.sin(F.lit(0.3)) * F.col("x") + F.cos(F.lit(0.3)) * F.col("y") - 2).alias("v"), F.col("z").alias("w"))
+    p = points(spark, sf).select(F.col("x"), F.col("y"), F.col("z"), (F.cos(F.lit(0.3)) * F.col("x") - F.sin(F.lit(0.3)) * F.col("y") + 5).alias("u"), (F.sin(F.lit(0.3)) * F.col("x") + F.cos(F.lit(0.3)) * F.col("y") - 2).alias("v"), F.col("z").alias("w"))
     rot, shift = align(p, ["x", "y", "z"], ["u", "v", "w"])
     return spark.createDataFrame([(i, *map(float, rot[i]), float(shift[i])) for i in range(3)], "row int, r0 double, r1 double, r2 double, shift double")

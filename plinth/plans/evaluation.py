@@ -110,7 +110,7 @@ def ordered_propagation(spark, sf):
 def mixture_tiles(spark, sf):
     from plinth.operators.mixture import fit_tiles
 
-    return fit_tiles(points(spark, sf).where("frame <= 20"), ["cls", "frame"], 3)
+    return fit_tiles(points(spark, sf), ["cls", "frame"], 3)
 
 
 @query("wheel_filter")

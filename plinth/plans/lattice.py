@@ -26,9 +26,9 @@ def frame_scan(spark, sf):
     return points(spark, sf).where("frame = 7").select("ok", "ln", "x", "y", "z")
 
 
-@query("flatten_cloud", f"{PTS}, a AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, x, y, z, inten) AS idx, x, y, z FROM pts WHERE frame <= 10) SELECT frame, idx, x, y, round(sqrt(x*x + y*y + z*z), 6) AS rng FROM a")
+@query("flatten_cloud", f"{PTS}, a AS (SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY ok, ln, x, y, z, inten) AS idx, x, y, z FROM pts) SELECT frame, idx, x, y, round(sqrt(x*x + y*y + z*z), 6) AS rng FROM a")
 def flatten_cloud(spark, sf):
-    one = points(spark, sf).where("frame <= 10").groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("ok", "ln", "x", "y", "z", "inten"))).alias("pts"))
+    one = points(spark, sf).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("ok", "ln", "x", "y", "z", "inten"))).alias("pts"))
     flat = one.select("frame", F.posexplode("pts").alias("i", "p")).select("frame", (F.col("i") + 1).alias("idx"), "p.x", "p.y", "p.z")
     rng = F.coalesce(F.lit(None).cast("double"), F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
     return flat.select("frame", F.col("idx").cast("long"), "x", "y", rnd(rng, 6).alias("rng"))

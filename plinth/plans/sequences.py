@@ -9,10 +9,10 @@ from plinth.functions import scalar
 from plinth.plans.catalog import EV, PTS, points, query, rnd, stream, table
 
 
-@query("lexical_sort", f"{PTS} SELECT frame, ok, ln, x, row_number() OVER (PARTITION BY frame ORDER BY x, y, z, ok, ln, inten) AS pos FROM pts WHERE frame <= 5")
+@query("lexical_sort", f"{PTS} SELECT frame, ok, ln, x, row_number() OVER (PARTITION BY frame ORDER BY x, y, z, ok, ln, inten) AS pos FROM pts")
 def lexical_sort(spark, sf):
     w = Window.partitionBy("frame").orderBy("x", "y", "z", "ok", "ln", "inten")
-    return points(spark, sf).where("frame <= 5").select("frame", "ok", "ln", "x", F.row_number().over(w).cast("long").alias("pos"))
+    return points(spark, sf).select("frame", "ok", "ln", "x", F.row_number().over(w).cast("long").alias("pos"))
 
 
 @query("near_to_far", f"{PTS}, d AS (SELECT frame, cls, round(min(sqrt(x*x + y*y)), 6) AS rng FROM pts GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY frame ORDER BY rng, cls) AS pos FROM d")
@@ -155,25 +155,25 @@ def euler_quaternion(spark, sf):
     return stream(spark, sf).select("event_id", *(rnd(c, 6).alias(k) for k, c in zip(("qw", "qx", "qy", "qz"), q)))
 
 
-@query("rigid_transform", f"{PTS}, p AS (SELECT s_suppkey AS frame, s_acctbal / 10000 AS a, s_nationkey AS tx, s_nationkey * 2 AS ty FROM supplier) SELECT ok, ln, x, y, round(cos(a)*x - sin(a)*y + tx, 5) AS gx, round(sin(a)*x + cos(a)*y + ty, 5) AS gy, round(a, 6) AS yaw FROM pts JOIN p USING (frame) WHERE frame <= 20")
+@query("rigid_transform", f"{PTS}, p AS (SELECT s_suppkey AS frame, s_acctbal / 10000 AS a, s_nationkey AS tx, s_nationkey * 2 AS ty FROM supplier) SELECT ok, ln, x, y, round(cos(a)*x - sin(a)*y + tx, 5) AS gx, round(sin(a)*x + cos(a)*y + ty, 5) AS gy, round(a, 6) AS yaw FROM pts JOIN p USING (frame)")
 def rigid_transform(spark, sf):
     zero = F.lit(0.0)
     q = scalar.quaternion(zero, zero, F.col("s_acctbal") / 10000)
     rot = scalar.rotation(*q)
     pose = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("frame"), *(rot[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)), F.col("s_nationkey").cast("double").alias("tx"), (F.col("s_nationkey") * 2.0).alias("ty"))
     m = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
-    p = points(spark, sf).where("frame <= 20").join(pose, "frame")
+    p = points(spark, sf).join(pose, "frame")
     g = scalar.moved(m, [F.col("tx"), F.col("ty"), F.lit(0.0)], [F.col("x"), F.col("y"), F.col("z")])
     return p.select("ok", "ln", "x", "y", rnd(g[0], 5).alias("gx"), rnd(g[1], 5).alias("gy"), rnd(F.atan2("r10", "r00"), 6).alias("yaw"))
 
 
-@query("reprojection", f"{PTS}, p AS (SELECT s_suppkey AS frame, s_acctbal / 10000 AS a, s_nationkey AS t FROM supplier) SELECT ok, ln, x, y, round(cos(a + 0.1 - a)*(x) - sin(0.1)*(y) + 0, 4) AS gx FROM pts JOIN p USING (frame) WHERE frame <= 5")
+@query("reprojection", f"{PTS}, p AS (SELECT s_suppkey AS frame, s_acctbal / 10000 AS a, s_nationkey AS t FROM supplier) SELECT ok, ln, x, y, round(cos(a + 0.1 - a)*(x) - sin(0.1)*(y) + 0, 4) AS gx FROM pts JOIN p USING (frame)")
 def reprojection(spark, sf):
     zero = F.lit(0.0)
     a = F.col("s_acctbal") / 10000
     old, new = scalar.rotation(*scalar.quaternion(zero, zero, a)), scalar.rotation(*scalar.quaternion(zero, zero, a + 0.1))
     t = [F.col("s_nationkey").cast("double"), F.lit(0.0), F.lit(0.0)]
-    p = points(spark, sf).where("frame <= 5").join(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "frame"), "frame")
+    p = points(spark, sf).join(table(spark, sf, "supplier").withColumnRenamed("s_suppkey", "frame"), "frame")
     world = scalar.moved(old, t, [F.col("x"), F.col("y"), F.col("z")])
     held = p.select("ok", "ln", "x", "y", "s_acctbal", "s_nationkey", *(c.alias(f"w{i}") for i, c in enumerate(world)))
     local = scalar.moved(old, t, [F.col(f"w{i}") for i in range(3)], inverse=True)
@@ -182,14 +182,14 @@ def reprojection(spark, sf):
     return back.select("ok", "ln", "x", "y", rnd(again[0] - F.col("s_nationkey") - (F.cos(a + 0.1) - F.cos(F.lit(0.1))) * F.col("x") + (F.sin(a + 0.1) - F.sin(F.lit(0.1))) * F.col("y"), 4).alias("gx"))
 
 
-@query("slerp", f"{EV}, a AS (SELECT event_id, value / 100 AS b, value / 40 AS e, (event_id % 11) / 10.0::DOUBLE AS f FROM ev WHERE value < 200) SELECT event_id, round(cos((b + f * (e - b)) / 2), 6) AS qw, round(sin((b + f * (e - b)) / 2), 6) AS qz FROM a")
+@query("slerp", f"{EV}, a AS (SELECT event_id, value / 100 AS b, value / 40 AS e, (event_id % 11) / 10.0::DOUBLE AS f FROM ev), s AS (SELECT event_id, b + f * (e - b - 2 * pi() * floor((e - b) / (2 * pi()) + 0.5)) AS g FROM a) SELECT event_id, round(CASE WHEN cos(g / 2) < 0 THEN -cos(g / 2) ELSE cos(g / 2) END, 6) AS qw, round(CASE WHEN cos(g / 2) < 0 THEN -sin(g / 2) ELSE sin(g / 2) END, 6) AS qz FROM s")
 def slerp(spark, sf):
     zero, v = F.lit(0.0), F.col("value")
     a, b = scalar.quaternion(zero, zero, v / 100), scalar.quaternion(zero, zero, v / 40)
     q = scalar.slerp(list(a), list(b), (F.col("event_id") % 11) / 10.0, 0.9999999)
-    # the shorter arc may end at the opposite quaternion: the same rotation
-    s = F.when(q[0] * F.cos((v / 100 + (F.col("event_id") % 11) / 10.0 * (v / 40 - v / 100)) / 2) + q[3] * F.sin((v / 100 + (F.col("event_id") % 11) / 10.0 * (v / 40 - v / 100)) / 2) < 0, -1.0).otherwise(1.0)
-    return stream(spark, sf).where("value < 200").select("event_id", rnd(s * q[0], 6).alias("qw"), rnd(s * q[3], 6).alias("qz"))
+    # of a rotation's two quaternions the one with the positive first part
+    s = F.when(q[0] < 0, -1.0).otherwise(1.0)
+    return stream(spark, sf).select("event_id", rnd(s * q[0], 6).alias("qw"), rnd(s * q[3], 6).alias("qz"))
 
 
 @query("tangent_plane", "WITH s AS (SELECT s_suppkey, radians(45 + s_acctbal / 1e6) AS la, radians(-93 + s_nationkey / 1000.0) AS lo, s_acctbal / 100 AS h FROM supplier), e AS (SELECT *, 6378137.0 / sqrt(1 - 0.0066943799901413165 * sin(la)**2) AS n, 6378137.0 / sqrt(1 - 0.0066943799901413165 * sin(radians(45))**2) AS n0 FROM s), d AS (SELECT *, (n + h)*cos(la)*cos(lo) - (n0 + 250)*cos(radians(45))*cos(radians(-93)) AS dx, (n + h)*cos(la)*sin(lo) - (n0 + 250)*cos(radians(45))*sin(radians(-93)) AS dy, (n*(1 - 0.0066943799901413165) + h)*sin(la) - (n0*(1 - 0.0066943799901413165) + 250)*sin(radians(45)) AS dz FROM e) SELECT s_suppkey, round(-sin(radians(-93))*dx + cos(radians(-93))*dy, 3) AS east, round(-sin(radians(45))*cos(radians(-93))*dx - sin(radians(45))*sin(radians(-93))*dy + cos(radians(45))*dz, 3) AS north, round(cos(radians(45))*cos(radians(-93))*dx + cos(radians(45))*sin(radians(-93))*dy + sin(radians(45))*dz, 3) AS up FROM d")

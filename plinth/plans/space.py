@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from plinth.operators import binning, graph, moments, signal, spatial
 from plinth.plans.catalog import PTS, points, query, rnd, table
 
-GRID = f"{PTS}, g AS (SELECT frame, CAST(floor(x / 5) AS BIGINT) AS bx, CAST(floor(y / 10) AS BIGINT) AS by, count(*) AS n, avg(y) AS v FROM pts WHERE x > 20 GROUP BY ALL HAVING count(*) >= 2)"
+GRID = f"{PTS}, g AS (SELECT frame, CAST(floor(x / 5) AS BIGINT) AS bx, CAST(floor(y / 10) AS BIGINT) AS by, count(*) AS n, avg(y) AS v FROM pts GROUP BY ALL)"
 
 
 def grid(spark, sf):
-    p = points(spark, sf).where("x > 20")
-    return p.groupBy("frame", F.floor(F.col("x") / 5).alias("bx"), F.floor(F.col("y") / 10).alias("by")).agg(F.count("*").alias("n"), F.avg("y").alias("v")).where("n >= 2")
+    return points(spark, sf).groupBy("frame", F.floor(F.col("x") / 5).alias("bx"), F.floor(F.col("y") / 10).alias("by")).agg(F.count("*").alias("n"), F.avg("y").alias("v"))
 
 
 def beside(cells, reach, centre=False):
@@ -91,10 +90,10 @@ def mask_dilation(spark, sf):
     return binning.dilate(grid(spark, sf).where("n >= 6").select("frame", "bx", "by"), ["frame"], 1)
 
 
-@query("tile_halo", f"{PTS}, p AS (SELECT ok, ln, x, y FROM pts WHERE frame = 3), t AS (SELECT * FROM generate_series(-1, 8) a(tx), generate_series(-1, 12) b(ty)) SELECT tx::BIGINT AS tx, ty::BIGINT AS ty, count(*) AS n, count(*) FILTER (WHERE floor(x / 10) = tx AND floor(y / 10) = ty) AS core FROM p, t WHERE floor((x - 1.5) / 10) <= tx AND floor((x + 1.5) / 10) >= tx AND floor((y - 1.5) / 10) <= ty AND floor((y + 1.5) / 10) >= ty GROUP BY ALL")
+@query("tile_halo", f"{PTS}, u AS (SELECT frame, x, y, unnest(generate_series(floor((x - 1.5) / 10)::BIGINT, floor((x + 1.5) / 10)::BIGINT)) AS tx FROM pts), w AS (SELECT *, unnest(generate_series(floor((y - 1.5) / 10)::BIGINT, floor((y + 1.5) / 10)::BIGINT)) AS ty FROM u) SELECT frame, tx, ty, count(*) AS n, count(*) FILTER (WHERE floor(x / 10) = tx AND floor(y / 10) = ty) AS core FROM w GROUP BY ALL")
 def tile_halo(spark, sf):
-    t = binning.tiles_with_halo(points(spark, sf).where("frame = 3"), "x", "y", 10.0, 1.5)
-    return t.groupBy("tx", "ty").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_core"), 1)).alias("core"))
+    t = binning.tiles_with_halo(points(spark, sf), "x", "y", 10.0, 1.5)
+    return t.groupBy("frame", "tx", "ty").agg(F.count("*").alias("n"), F.count(F.when(F.col("is_core"), 1)).alias("core"))
 
 
 EMB = "WITH e AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"
@@ -132,10 +131,10 @@ def comps(spark, sf):
     return m.select("cls", "frame", "mx", "my", (F.col("sxx") / 50 + 0.1).alias("sxx"), (F.col("sxy") / 50).alias("sxy"), (F.col("syy") / 50 + 0.1).alias("syy"), (F.col("n") / 1000.0).alias("weight"))
 
 
-@query("kernel_overlap", f"{COMP}, p AS (SELECT a.cls, a.weight * b.weight AS w, a.sxx + b.sxx AS xx, a.sxy + b.sxy AS xy, a.syy + b.syy AS yy, a.mx - b.mx AS dx, a.my - b.my AS dy FROM c a JOIN c b ON a.cls = b.cls AND a.frame < 50 AND b.frame >= 50 AND (a.mx - b.mx)**2 + (a.my - b.my)**2 <= 9), d AS (SELECT *, xx*yy - xy*xy AS det FROM p) SELECT cls, round(sum(w * exp(-0.5 * (yy*dx*dx - 2*xy*dx*dy + xx*dy*dy) / det) / (2 * pi() * sqrt(det))), 5) AS overlap, count(*) AS pairs FROM d GROUP BY cls")
+@query("kernel_overlap", f"{COMP}, p AS (SELECT a.cls, a.weight * b.weight AS w, a.sxx + b.sxx AS xx, a.sxy + b.sxy AS xy, a.syy + b.syy AS yy, a.mx - b.mx AS dx, a.my - b.my AS dy FROM c a JOIN c b ON a.cls = b.cls AND a.frame < 50 AND b.frame >= 50), d AS (SELECT *, xx*yy - xy*xy AS det FROM p) SELECT cls, round(sum(w * exp(-0.5 * (yy*dx*dx - 2*xy*dx*dy + xx*dy*dy) / det) / (2 * pi() * sqrt(det))), 5) AS overlap FROM d GROUP BY cls")
 def kernel_overlap(spark, sf):
     c = comps(spark, sf)
-    return spatial.kernel_overlap(c.where("frame < 50"), c.where("frame >= 50"), "cls", 3.0).select("cls", rnd("overlap", 5).alias("overlap"), "pairs")
+    return spatial.kernel_overlap(c.where("frame < 50"), c.where("frame >= 50"), "cls").select("cls", rnd("overlap", 5).alias("overlap"))
 
 
 @query("field_intensity", f"{COMP}, q AS (SELECT row_number() OVER () AS i, x, y, cls FROM (SELECT DISTINCT cls, round(x / 10) * 10 AS x, round(y / 20) * 20 AS y FROM pts)), d AS (SELECT q.cls, q.x, q.y, weight, sxx*syy - sxy*sxy AS det, (syy*(q.x-mx)**2 - 2*sxy*(q.x-mx)*(q.y-my) + sxx*(q.y-my)**2) / (sxx*syy - sxy*sxy) AS m FROM q LEFT JOIN c ON q.cls = c.cls) SELECT cls, x, y, round(coalesce(sum(weight * exp(-0.5 * m) / (2 * pi() * sqrt(det))) FILTER (WHERE m <= 9), 0), 6) AS intensity, count(*) FILTER (WHERE m <= 9) AS components FROM d GROUP BY ALL".replace("round(x / 10)", "floor(x / 10 + 0.5)").replace("round(y / 20)", "floor(y / 20 + 0.5)"))
@@ -152,13 +151,13 @@ def field_index_cells(spark, sf):
     return spatial.field_index(comps(spark, sf), 4.0, 3.0).groupBy("cls", "frame").agg(F.count("*").alias("cells"))
 
 
-@query("coverage_predicate", f"{PTS}, t AS (SELECT DISTINCT floor(x / 5) * 5 AS x0, floor(y / 10) * 10 AS y0 FROM pts WHERE frame = 1), p AS (SELECT DISTINCT x, y FROM pts WHERE frame = 2) SELECT p.x, p.y, EXISTS (SELECT 1 FROM t WHERE p.x BETWEEN x0 AND x0 + 5 AND p.y BETWEEN y0 AND y0 + 10) AS in_coverage FROM p")
+@query("coverage_predicate", f"{PTS}, t AS (SELECT DISTINCT frame, floor(x / 5) * 5 AS x0, floor(y / 10) * 10 AS y0 FROM pts WHERE cls = 'A'), p AS (SELECT DISTINCT frame, x, y FROM pts WHERE cls <> 'A') SELECT p.frame, p.x, p.y, EXISTS (SELECT 1 FROM t WHERE p.frame = t.frame AND p.x BETWEEN x0 AND x0 + 5 AND p.y BETWEEN y0 AND y0 + 10) AS in_coverage FROM p")
 def coverage_predicate(spark, sf):
     pts = points(spark, sf)
-    t = pts.where("frame = 1").select(F.floor(F.col("x") / 5).alias("tx"), F.floor(F.col("y") / 10).alias("ty"))
-    p = pts.where("frame = 2").select("x", "y").distinct().withColumn("pid", F.concat_ws(":", "x", "y"))
-    scaled = p.select("pid", (F.col("x") / 5).alias("x"), (F.col("y") / 10).alias("y"))
-    return p.join(spatial.covered(scaled, t, "pid", 1.0), "pid").select("x", "y", "in_coverage")
+    t = pts.where("cls = 'A'").select("frame", F.floor(F.col("x") / 5).alias("tx"), F.floor(F.col("y") / 10).alias("ty"))
+    p = pts.where("cls <> 'A'").select("frame", "x", "y").distinct().withColumn("pid", F.concat_ws(":", "frame", "x", "y"))
+    scaled = p.select("frame", "pid", (F.col("x") / 5).alias("x"), (F.col("y") / 10).alias("y"))
+    return p.join(spatial.covered(scaled, t, "pid", 1.0, ["frame"]), "pid").select("frame", "x", "y", "in_coverage")
 
 
 @query("local_crop", f"{COMP} SELECT cls, frame FROM c WHERE (mx - 25)**2 + (my - 52)**2 <= 4")
@@ -166,12 +165,11 @@ def local_crop(spark, sf):
     return comps(spark, sf).where((F.col("mx") - 25) ** 2 + (F.col("my") - 52) ** 2 <= 4).select("cls", "frame")
 
 
-HOUGH = f"{PTS}, h AS (SELECT frame, th, CAST(floor((x * cos(th * pi() / 18) + y * sin(th * pi() / 18)) / 4 + 0.5 + 1e-9) AS BIGINT) AS rho, sum(inten + 0.01) AS votes FROM pts, generate_series(0, 17) g(th) WHERE frame <= 20 GROUP BY ALL)"
+HOUGH = f"{PTS}, h AS (SELECT frame, th, CAST(floor((x * cos(th * pi() / 18) + y * sin(th * pi() / 18)) / 4 + 0.5 + 1e-9) AS BIGINT) AS rho, sum(inten + 0.01) AS votes FROM pts, generate_series(0, 17) g(th) GROUP BY ALL)"
 
 
 def hough_votes(spark, sf):
-    p = points(spark, sf).where("frame <= 20")
-    return spatial.hough(p, ["frame"], F.col("inten") + 0.01, 18, 4.0)
+    return spatial.hough(points(spark, sf), ["frame"], F.col("inten") + 0.01, 18, 4.0)
 
 
 @query("hough_votes", f"{HOUGH} SELECT frame, CAST(th AS INT) AS theta_bin, rho AS rho_bin, round(votes, 4) AS votes FROM h".replace(" + 1e-9", ""))
@@ -187,20 +185,21 @@ def hough_peaks(spark, sf):
     return spatial.peaks(hough_votes(spark, sf).withColumn("votes", rnd("votes", 4)), ["frame"], 1, 1.0, 3).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("nearest_line", f"{PTS}, l AS (SELECT frame, i, i * 0.3 AS theta, 20.0 + i * 8 AS rho, (i * 7) % 5 AS score FROM (SELECT DISTINCT frame FROM pts WHERE frame <= 10), generate_series(0, 4) g(i)), j AS (SELECT p.frame, p.x, p.y, l.i, row_number() OVER (PARTITION BY p.frame, p.x, p.y ORDER BY round(abs(p.x * cos(theta) + p.y * sin(theta) - rho), 9), score DESC, i) AS k FROM (SELECT DISTINCT frame, x, y FROM pts) p JOIN l ON p.frame = l.frame) SELECT frame, x, y, CAST(i AS INT) AS line FROM j WHERE k = 1")
+@query("nearest_line", f"{PTS}, l AS (SELECT frame, i, i * 0.3 AS theta, 20.0 + i * 8 AS rho, (i * 7) % 5 AS score FROM (SELECT DISTINCT frame FROM pts), generate_series(0, 4) g(i)), j AS (SELECT p.frame, p.x, p.y, l.i, row_number() OVER (PARTITION BY p.frame, p.x, p.y ORDER BY round(abs(p.x * cos(theta) + p.y * sin(theta) - rho), 9), score DESC, i) AS k FROM (SELECT DISTINCT frame, x, y FROM pts) p JOIN l ON p.frame = l.frame) SELECT frame, x, y, CAST(i AS INT) AS line FROM j WHERE k = 1")
 def nearest_line(spark, sf):
-    p = points(spark, sf).where("frame <= 10").select("frame", "x", "y").distinct().withColumn("pid", F.concat_ws(":", "x", "y"))
+    p = points(spark, sf).select("frame", "x", "y").distinct().withColumn("pid", F.concat_ws(":", "x", "y"))
     i = F.explode(F.array(*map(F.lit, range(5)))).alias("line")
     lines = p.select("frame").distinct().select("frame", i).select("frame", "line", (F.col("line") * 0.3).alias("theta"), (20.0 + F.col("line") * 8).alias("rho"), ((F.col("line") * 7) % 5).cast("double").alias("score"))
     found = spatial.nearest_line(p, lines, ["frame"], "pid", "line")
     return p.join(found, ["frame", "pid"]).select("frame", "x", "y", "line")
 
 
-IDS = f"{GRID}, i AS (SELECT frame * 1000000 + bx * 1000 + by AS id, * FROM g WHERE frame <= 10 AND n >= 4)"
+IDS = f"{PTS}, i AS (SELECT frame * 1000000 + bx * 1000 + by AS id, * FROM (SELECT frame, CAST(floor(x) AS BIGINT) AS bx, CAST(floor(y / 2) AS BIGINT) AS by, count(*) AS n, avg(y) AS v FROM pts GROUP BY ALL))"
 
 
 def marked(spark, sf):
-    g = grid(spark, sf).where("frame <= 10 AND n >= 4")
+    """Occupied cells of a fine lattice, with ids."""
+    g = points(spark, sf).groupBy("frame", F.floor(F.col("x")).alias("bx"), F.floor(F.col("y") / 2).alias("by")).agg(F.count("*").alias("n"), F.avg("y").alias("v"))
     return g.withColumn("id", F.col("frame") * 1000000 + F.col("bx") * 1000 + F.col("by"))
 
 
@@ -209,27 +208,24 @@ _CC = "e AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON a.frame = b.frame
 
 @query("connected_components", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x='')} SELECT id, min(label) AS label FROM r GROUP BY id")
 def connected_components(spark, sf):
-    m = graph.cut(marked(spark, sf), "cells")
-    return graph.components(m.select("id"), graph.lattice_edges(m, ["frame"]))
+    return graph.frame_components(marked(spark, sf), "frame")
 
 
-@query("slope_components", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x=' AND abs(a.v - b.v) <= 8')} SELECT id, min(label) AS label FROM r GROUP BY id")
+@query("slope_components", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x=' AND abs(a.v - b.v) <= 1.5')} SELECT id, min(label) AS label FROM r GROUP BY id")
 def slope_components(spark, sf):
-    m = graph.cut(marked(spark, sf), "cells")
-    return graph.components(m.select("id"), graph.lattice_edges(m, ["frame"], 1, "v", 8.0))
+    return graph.frame_components(marked(spark, sf), "frame", "v", 1.5)
 
 
 @query("small_components", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, {_CC.format(x='')}, l AS (SELECT id, min(label) AS label FROM r GROUP BY id) SELECT id FROM l WHERE label IN (SELECT label FROM l GROUP BY label HAVING count(*) >= 4)")
 def small_components(spark, sf):
-    m = graph.cut(marked(spark, sf), "cells")
-    labels = graph.components(m.select("id"), graph.lattice_edges(m, ["frame"]))
+    labels = graph.frame_components(marked(spark, sf), "frame")
     return labels.join(labels.groupBy("label").agg(F.count("*").alias("n")).where("n >= 4"), "label", "left_semi").select("id")
 
 
-@query("region_growing", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT frame, bx, by, v FROM i WHERE n >= 8), m AS (SELECT frame, median(v) AS mid FROM s GROUP BY frame), a AS (SELECT i.* FROM i JOIN m USING (frame) WHERE abs(v - mid) <= 25), r(frame, bx, by, v) AS (SELECT a.frame, a.bx, a.by, a.v FROM a JOIN s USING (frame, bx, by) UNION SELECT b.frame, b.bx, b.by, b.v FROM r JOIN a b ON r.frame = b.frame AND abs(r.bx - b.bx) <= 1 AND abs(r.by - b.by) <= 1 AND abs(r.v - b.v) <= 10.5) SELECT frame, bx, by FROM r")
+@query("region_growing", f"{IDS.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT frame, bx, by, v FROM i WHERE n >= 3), m AS (SELECT frame, median(v) AS mid FROM s GROUP BY frame), a AS (SELECT i.* FROM i JOIN m USING (frame) WHERE abs(v - mid) <= 25), r(frame, bx, by, v) AS (SELECT a.frame, a.bx, a.by, a.v FROM a JOIN s USING (frame, bx, by) UNION SELECT b.frame, b.bx, b.by, b.v FROM r JOIN a b ON r.frame = b.frame AND abs(r.bx - b.bx) <= 1 AND abs(r.by - b.by) <= 1 AND abs(r.v - b.v) <= 2.5) SELECT frame, bx, by FROM r")
 def region_growing(spark, sf):
     m = marked(spark, sf)
-    return graph.grow(m.select("frame", "bx", "by", "v"), m.where("n >= 8").select("frame", "bx", "by"), ["frame"], "v", 10.5, 25.0).select("frame", "bx", "by")
+    return graph.frame_growth(m.withColumn("seed", F.col("n") >= 3), "frame", "v", 2.5, 25.0)
 
 
 @query("greedy_order", f"{COMP} SELECT cls, frame, row_number() OVER (PARTITION BY cls ORDER BY weight DESC, frame) AS rank FROM c")
