@@ -26,6 +26,13 @@ def error_windows(errors: DataFrame, by: list[str], error: str, windows: dict[st
     return rows.groupBy(*by, "window").agg(F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(F.abs(e), F.lit(0.95)).alias("p95"), F.max(F.abs(e)).alias("greatest"), F.count_if(F.abs(e) > limit).alias("beyond"))
 
 
+def trajectory_score(errors: DataFrame, by: list[str], error: str, heading: str, limit: float) -> DataFrame:
+    """Of each trajectory: rows, root mean square, mean, 95th percentile (linear) and greatest position error, heading error in degrees, rows beyond the limit."""
+    e, h = F.col(error), F.col(heading)
+    aggs = [F.count("*").alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean"), F.percentile(e, F.lit(0.95)).alias("p95"), F.max(e).alias("worst"), F.degrees(F.sqrt(F.avg(h * h))).alias("heading_rmse"), F.count_if(e > limit).alias("beyond")]
+    return errors.groupBy(*by).agg(*aggs)
+
+
 def with_completeness(summary: DataFrame, expected: DataFrame, keys: list[str], n: str, values: list[str]) -> DataFrame:
     """Expected combinations that are missing or short (expected_n) have infinite errors and complete = false."""
     j = expected.join(summary, keys, "left")

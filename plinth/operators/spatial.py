@@ -69,6 +69,40 @@ def kernel_overlap(fixed: DataFrame, moving: DataFrame, cls: str, reach: float |
     return p.groupBy(cls).agg(F.sum(F.col("weight") * F.col("r_weight") * F.exp(-0.5 * m) / (2 * math.pi * F.sqrt(det))).alias("overlap"))
 
 
+def xy_marginal(components: DataFrame) -> DataFrame:
+    """XYZ components without their height: means and covariances of x and y, all else unchanged."""
+    return components.drop("mz", "sxz", "syz", "szz")
+
+
+def xyz_overlap(fixed: DataFrame, moving: DataFrame, cls: str, pose: tuple[float, float, float]) -> DataFrame:
+    """Class-wise overlap of XYZ mixtures, the moving one at a planar pose, and its gradient by the pose (overlap, gx, gy, gyaw).
+
+    Components are (cls, mx, my, mz, sxx, sxy, sxz, syy, syz, szz, weight). The moving ones and their derivatives by the yaw
+    are columns before the join; pairs of no density in double precision are left out by the grid of ``full_reach``.
+    """
+    c, s = math.cos(pose[2]), math.sin(pose[2])
+    mx, my, xx, xy, xz, yy, yz = (F.col(n) for n in ("mx", "my", "sxx", "sxy", "sxz", "syy", "syz"))
+    turned = moving.select(
+        cls, "weight", "mz", "szz",
+        (c * mx - s * my + pose[0]).alias("x"), (s * mx + c * my + pose[1]).alias("y"), (-s * mx - c * my).alias("ux"), (c * mx - s * my).alias("uy"),
+        (c * c * xx - 2 * c * s * xy + s * s * yy).alias("sxx"), (c * s * (xx - yy) + (c * c - s * s) * xy).alias("sxy"), (c * xz - s * yz).alias("sxz"), (s * s * xx + 2 * c * s * xy + c * c * yy).alias("syy"), (s * xz + c * yz).alias("syz"),
+    )
+    still = fixed.select(cls, "weight", "mz", "szz", F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "sxz", "syy", "syz")
+    p = radius_pairs(still, turned, [cls], full_reach(fixed, moving))
+    add = lambda n: F.col(n) + F.col(f"r_{n}")
+    less = lambda n: F.col(n) - F.col(f"r_{n}")
+    p = p.select(
+        cls, (F.col("weight") * F.col("r_weight")).alias("w"), *(add(f"s{n}").alias(n) for n in ("xx", "xy", "xz", "yy", "yz", "zz")), less("x").alias("dx"), less("y").alias("dy"), less("mz").alias("dz"),
+        F.col("r_ux").alias("ux"), F.col("r_uy").alias("uy"), (-2 * F.col("r_sxy")).alias("txx"), (F.col("r_sxx") - F.col("r_syy")).alias("txy"), (-F.col("r_syz")).alias("txz"), (2 * F.col("r_sxy")).alias("tyy"), F.col("r_sxz").alias("tyz"),
+    )
+    # cofactors, the solved difference and the density
+    p = p.selectExpr("*", "yy*zz - yz*yz AS axx", "xz*yz - xy*zz AS axy", "xy*yz - xz*yy AS axz", "xx*zz - xz*xz AS ayy", "xy*xz - xx*yz AS ayz", "xx*yy - xy*xy AS azz")
+    p = p.selectExpr("*", "xx*axx + xy*axy + xz*axz AS det").selectExpr("*", "(axx*dx + axy*dy + axz*dz)/det AS qx", "(axy*dx + ayy*dy + ayz*dz)/det AS qy", "(axz*dx + ayz*dy + azz*dz)/det AS qz")
+    p = p.selectExpr("*", "w * exp(-0.5 * (dx*qx + dy*qy + dz*qz)) / (pow(2*pi(), 1.5) * sqrt(det)) AS k")
+    turn = "k * (qx*ux + qy*uy + 0.5*(qx*qx*txx + 2*qx*qy*txy + 2*qx*qz*txz + qy*qy*tyy + 2*qy*qz*tyz - (axx*txx + 2*axy*txy + 2*axz*txz + ayy*tyy + 2*ayz*tyz)/det))"
+    return p.groupBy(cls).agg(F.sum("k").alias("overlap"), F.expr("sum(k*qx)").alias("gx"), F.expr("sum(k*qy)").alias("gy"), F.expr(f"sum({turn})").alias("gyaw"))
+
+
 def field_index(components: DataFrame, cell: float, sigmas: float, most_cells: int = 10_000) -> DataFrame:
     """cell_x, cell_y (null: the global list) of each component whose ellipse box touches them."""
     rx, ry = sigmas * F.sqrt("sxx"), sigmas * F.sqrt("syy")
