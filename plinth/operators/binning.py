@@ -65,3 +65,17 @@ def dilate(cells: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """Cells within a Chebyshev reach of a marked one."""
     grown = cells.select(*keys, "bx", "by", F.explode(stencil(reach)).alias("__d"))
     return grown.select(*keys, (F.col("bx") + F.col("__d.dx")).alias("bx"), (F.col("by") + F.col("__d.dy")).alias("by")).distinct()
+
+
+def marked_rows(df: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows with all their columns, and marked: whether their keys are among the found ones."""
+    hit = found.select(*keys).distinct().withColumn("__m", F.lit(True))
+    return df.join(hit, keys, "left").withColumn("marked", F.col("__m").isNotNull()).drop("__m")
+
+
+def spacing_constant(spacing: Column, known: dict[float, float]) -> Column:
+    """The constant of a known lattice spacing; any other spacing is an error."""
+    out = F.lit(None).cast("double")
+    for s, c in known.items():
+        out = F.when(F.abs(spacing - s) < 1e-9, F.lit(float(c))).otherwise(out)
+    return F.coalesce(out, F.raise_error(F.concat(F.lit("no constant for spacing "), spacing.cast("string"))).cast("double"))

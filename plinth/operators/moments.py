@@ -128,3 +128,52 @@ def plane_fit(df: DataFrame, keys: list[str], weight: Column, x: str = "x", y: s
     b = F.when(ok, (sxz * syy - syz * sxy) / F.when(ok, det))
     c = F.when(ok, (syz * sxx - sxz * sxy) / F.when(ok, det))
     return m.select(*keys, "mass", (F.col(f"m{z}") - b * F.col(f"m{x}") - c * F.col(f"m{y}")).alias("a"), b.alias("b"), c.alias("c"))
+
+
+def plane_modes(df: DataFrame, keys: list[str], weight: Column, apart: float, ratio: float, balance: float = 0.15) -> DataFrame:
+    """keys, variance, within, apart, two_modes: whether the residuals of the weighted plane fall into a lower and an upper mode.
+
+    So they do if both halves have weight enough, their means stand apart, and little variance is left within them.
+    """
+    d = df.withColumn("__w", weight)
+    r = d.join(plane_fit(d, keys, F.col("__w")), keys).withColumn("__r", F.col("z") - F.col("a") - F.col("b") * F.col("x") - F.col("c") * F.col("y"))
+    halves = r.groupBy(*keys, (F.col("__r") <= 0).alias("__low")).agg(F.sum("__w").alias("__m"), (F.sum(F.col("__w") * F.col("__r")) / F.sum("__w")).alias("__a"), F.sum(F.col("__w") * F.col("__r") ** 2).alias("__q"))
+    total = F.sum("__m")
+    g = halves.groupBy(*keys).agg(F.count("*").alias("__k"), (F.sum("__q") / total).alias("variance"), ((F.sum("__q") - F.sum(F.col("__m") * F.col("__a") ** 2)) / total).alias("within"), (F.min("__m") / total).alias("__b"), (F.max("__a") - F.min("__a")).alias("apart"))
+    return g.withColumn("two_modes", (F.col("__k") == 2) & (F.col("__b") > balance) & (F.col("apart") > apart) & (F.col("within") < ratio * F.col("variance"))).drop("__k", "__b")
+
+
+def height_order(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Order statistics of whole groups: the greatest gap and the quartile span over the span, standardised moments, halves between the median and the 5th and 95th percentile (midpoint rule)."""
+    gaps = df.withColumn("__g", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(value)))
+    g = gaps.groupBy(*keys).agg(F.max("__g").alias("__m"), (F.max(value) - F.min(value)).alias("__s"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurt"))
+    q = midpoint_quantiles(df, keys, value, [0.05, 0.25, 0.5, 0.75, 0.95])
+    wide = F.col("__s") > 0
+    j = g.join(q, keys)
+    over = lambda c: F.when(wide, c / F.when(wide, F.col("__s"))).otherwise(0.0)
+    return j.select(*keys, over(F.col("__m")).alias("gap_ratio"), over(F.col("q75") - F.col("q25")).alias("quartile_ratio"), "skew", "kurt", (F.col("q50") - F.col("q5")).alias("lower_half"), (F.col("q95") - F.col("q50")).alias("upper_half"))
+
+
+def higher_moments(df: DataFrame, keys: list[str]) -> DataFrame:
+    """21 measures of the shape of a population of x, y, z: standardised heights, their quantiles and histogram, spread across and about a leaning axis."""
+    by = Window.partitionBy(*keys)
+    low, high = F.min("z").over(by), F.max("z").over(by)
+    d = df.select(*keys, *((F.col(a) - F.avg(a).over(by)).alias(f"d{a}") for a in "xyz"), ((F.col("z") - low) / F.greatest(high - low, F.lit(1e-10))).alias("u"), (high - low).alias("span"), F.count("*").over(by).alias("n"))
+    d = d.withColumn("rad", F.col("dx") ** 2 + F.col("dy") ** 2).withColumn("gap", F.col("u") - F.lag("u").over(by.orderBy("u")))
+    v = F.avg(F.col("dz") ** 2).over(by)
+    d = d.withColumns({"v": v, "tx": F.col("dx") - F.avg(F.col("dx") * F.col("dz")).over(by) / F.greatest(v, F.lit(1e-14)) * F.col("dz"), "ty": F.col("dy") - F.avg(F.col("dy") * F.col("dz")).over(by) / F.greatest(v, F.lit(1e-14)) * F.col("dz")})
+    d = d.withColumns({"bin": F.least(F.lit(10), F.greatest(F.lit(1), F.floor(F.floor(F.col("u") * 1e10 + 0.5) / 1e10 * 10) + 1)), "t2": F.col("tx") ** 2 + F.col("ty") ** 2, "e": F.col("dz") ** 2 - F.col("v")})
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    m2 = F.avg(F.col("dz") ** 2)
+    q = F.percentile("u", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
+    g = d.groupBy(*keys).agg(
+        F.first("n").alias("n"), (F.avg(F.col("dz") ** 3) / F.greatest(m2**1.5, F.lit(1e-15))).alias("skew"), (F.avg(F.col("dz") ** 4) / F.greatest(m2**2, F.lit(1e-20))).alias("kurt"),
+        (F.avg(F.col("rad") ** 2) / F.greatest(F.avg("rad") ** 2, F.lit(1e-20))).alias("radial_kurt"), F.avg("u").alias("level"), (m2 / F.greatest(F.max("span") ** 2, F.lit(1e-20))).alias("spread"),
+        share(F.col("u") < 0.25).alias("low"), share(F.col("u").between(0.25, 0.75)).alias("mid"), share(F.col("u") > 0.75).alias("high"), q.alias("q"), F.max("gap").alias("gap"), F.corr("dz", "rad").alias("coupling"),
+        F.percentile(F.sqrt("t2"), F.lit(0.9)).alias("lean90"), F.max(F.sqrt("t2")).alias("lean_max"), (F.avg(F.col("t2") ** 2) / F.greatest(F.avg("t2") ** 2, F.lit(1e-20))).alias("lean_kurt"),
+        F.least(F.lit(1.0), F.sqrt(F.avg(F.col("e") * F.col("tx")) ** 2 + F.avg(F.col("e") * F.col("ty")) ** 2) / F.sqrt(F.avg(F.col("e") ** 2) * F.avg("t2"))).alias("bow"),
+    )
+    counted = d.groupBy(*keys, "bin").agg((F.count("*") / F.first("n")).alias("p")).groupBy(*keys).agg((-F.sum(F.col("p") * F.ln("p")) / F.ln(F.lit(10.0))).alias("entropy"), F.max("p").alias("mode"), F.count("*").alias("__b"))
+    a, b, c, e, f = (F.col("q")[i] for i in range(5))
+    g = g.join(counted, keys).withColumns({"span50": e - b, "span80": f - a, "median": c, "tilt": (f + a - 2 * c) / F.greatest(f - a, F.lit(1e-10)), "bins": F.col("__b") / F.least("n", F.lit(10))})
+    return g.drop("q", "__b", "n")

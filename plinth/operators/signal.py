@@ -104,3 +104,14 @@ def separable_window(cells: DataFrame, keys: list[str], value: str, rows: int, c
     along = spread.groupBy(*keys, "bx", (F.col("by") + F.col("__d")).alias("by")).agg(step("__v").alias("__v"))
     up = along.withColumn("__d", F.explode(F.sequence(F.lit(-rows), F.lit(rows)))).groupBy(*keys, (F.col("bx") + F.col("__d")).alias("bx"), "by").agg(step("__v").alias(name))
     return cells.join(up, [*keys, "bx", "by"])
+
+
+def filled_holes(cells: DataFrame, keys: list[str], value: str, reach: int, least: int) -> DataFrame:
+    """keys, bx, by, filled, n: the empty cells of each key's occupied box with the median of the values within reach, where there are ``least`` of them."""
+    from plinth.operators.binning import neighbours
+
+    box = cells.groupBy(*keys).agg(F.min("bx").alias("__x0"), F.max("bx").alias("__x1"), F.min("by").alias("__y0"), F.max("by").alias("__y1"))
+    every = box.select(*keys, F.explode(F.sequence("__x0", "__x1")).alias("bx"), "__y0", "__y1").select(*keys, "bx", F.explode(F.sequence("__y0", "__y1")).alias("by"))
+    holes = every.join(cells, [*keys, "bx", "by"], "left_anti")
+    near = neighbours(holes, cells.select(*keys, "bx", "by", F.col(value).alias("__v")), keys, reach)
+    return near.groupBy(*keys, "bx", "by").agg(F.median("__v").alias("filled"), F.count("*").alias("n")).where(F.col("n") >= least)

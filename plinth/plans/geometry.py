@@ -85,10 +85,10 @@ def pose_join(spark, sf):
     return out.select("event_id", rnd("px", 6).alias("px"), rnd("py", 6).alias("py"), rnd(r[0][0], 4).alias("c"), rnd(r[1][0], 4).alias("s"))
 
 
-@query("full_deskew", f"{_POSED} SELECT event_id, round(cos(yaw)*value - sin(yaw)*2 + px, 3) AS gx, round(sin(yaw)*value + cos(yaw)*2 + py, 3) AS gy, 3.0::DOUBLE AS gz FROM i")
+@query("full_deskew", f"{_POSED} SELECT event_id, round(cos(yaw)*value/100 - sin(yaw)*2 + px, 3) AS gx, round(sin(yaw)*value/100 + cos(yaw)*2 + py, 3) AS gy, 3.0::DOUBLE AS gz FROM i")
 def full_deskew(spark, sf):
     left, p = posed(spark, sf)
-    pts = left.withColumns({"b": F.lit(2.0), "c": F.lit(1.0)})
+    pts = left.withColumns({"value": F.col("value") / 100, "b": F.lit(2.0), "c": F.lit(1.0)})
     d = poses.deskewed(pts, p, ["user_id"], "t", ["value", "b", "c"], ["px", "py", "pz"], 200000.0)
     return d.select("event_id", rnd("gx", 3).alias("gx"), rnd("gy", 3).alias("gy"), rnd("gz", 6).alias("gz"))
 

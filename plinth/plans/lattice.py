@@ -63,8 +63,16 @@ def branch_split(spark, sf):
 
 @query("index_mask", "SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49) AS marked FROM orders")
 def index_mask(spark, sf):
-    found = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("m", F.lit(True))
-    return table(spark, sf, "orders").select("o_orderkey").join(found, "o_orderkey", "left").select("o_orderkey", F.col("m").isNotNull().alias("marked"))
+    found = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return binning.marked_rows(table(spark, sf, "orders").select("o_orderkey"), found, ["o_orderkey"])
+
+
+@query("selected_rows", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)")
+def selected_rows(spark, sf):
+    """The rows of a mask, with all their aligned attributes."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    found = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").alias("o_orderkey"))
+    return binning.marked_rows(orders, found, ["o_orderkey"]).where("marked").drop("marked")
 
 
 @query("cell_moments", f"{CELL} SELECT bx, by, count(*) AS n, round(avg(x), 5) AS mx, round(avg(y), 5) AS my, round(avg(z), 5) AS mz, round(covar_pop(x, x), 5) AS sxx, round(covar_pop(x, y), 5) AS sxy, round(covar_pop(x, z), 5) AS sxz, round(covar_pop(y, y), 5) AS syy, round(covar_pop(y, z), 5) AS syz, round(covar_pop(z, z), 5) AS szz, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM c GROUP BY bx, by HAVING count(*) >= 5")
@@ -183,6 +191,33 @@ def plane_fit(spark, sf):
     return f.select("frame", rnd("a", 6).alias("a"), rnd("b", 7).alias("b"), rnd("c", 7).alias("c"))
 
 
+@query("plane_modes", f"{PTS}, w AS (SELECT frame, x, y, z, inten + 0.01 AS w FROM pts WHERE z <= 0.02 OR z >= 0.06), m AS (SELECT frame, sum(w) AS s, sum(w*x)/sum(w) AS mx, sum(w*y)/sum(w) AS my, sum(w*z)/sum(w) AS mz FROM w GROUP BY frame), q AS (SELECT frame, s, mx, my, mz, sum(w*(x-mx)**2) AS xx, sum(w*(x-mx)*(y-my)) AS xy, sum(w*(y-my)**2) AS yy, sum(w*(x-mx)*(z-mz)) AS xz, sum(w*(y-my)*(z-mz)) AS yz FROM w JOIN m USING (frame) GROUP BY ALL), f AS (SELECT *, (xz*yy - yz*xy)/(xx*yy - xy*xy) AS b, (yz*xx - xz*xy)/(xx*yy - xy*xy) AS c FROM q), r AS (SELECT frame, s, w, z - mz - b*(x-mx) - c*(y-my) AS r FROM w JOIN f USING (frame)), v AS (SELECT frame, s, r <= 0 AS low, sum(w) AS m, sum(w*r) / sum(w) AS a, sum(w*r*r) AS rr FROM r GROUP BY ALL), g AS (SELECT frame, max(s) AS s, sum(rr) / max(s) AS variance, (sum(rr) - sum(m*a*a)) / max(s) AS within, min(m) / max(s) AS balance, max(a) - min(a) AS apart, count(*) AS k FROM v GROUP BY frame) SELECT frame, round(variance, 9) AS variance, round(within, 9) AS within, round(apart, 7) AS apart, k = 2 AND balance > 0.15 AND apart > 0.03 AND within < 0.35 * variance AS two_modes FROM g")
+def plane_modes(spark, sf):
+    """Whether the heights about a weighted plane fall into two modes."""
+    p = points(spark, sf).where("z <= 0.02 OR z >= 0.06")
+    m = moments.plane_modes(p, ["frame"], F.col("inten") + 0.01, 0.03, 0.35)
+    return m.select("frame", rnd("variance", 9).alias("variance"), rnd("within", 9).alias("within"), rnd("apart", 7).alias("apart"), "two_modes")
+
+
+_D = "(PARTITION BY frame)"
+_SHAPE = f"""{PTS}, g AS (SELECT frame, x / 10 AS x, z AS y, y AS z FROM pts), m AS (SELECT *, x - avg(x) OVER {_D} AS dx, y - avg(y) OVER {_D} AS dy, z - avg(z) OVER {_D} AS dz, min(z) OVER {_D} AS lo, max(z) OVER {_D} AS hi, count(*) OVER {_D} AS n FROM g), q AS (SELECT *, (z - lo) / greatest(hi - lo, 1e-10) AS u, dx*dx + dy*dy AS rad, (z - lo) / greatest(hi - lo, 1e-10) - lag((z - lo) / greatest(hi - lo, 1e-10)) OVER (PARTITION BY frame ORDER BY z) AS gap FROM m), b AS (SELECT *, least(10, greatest(1, floor(floor(u * 1e10 + 0.5) / 1e10 * 10) + 1)) AS bin, avg(rad) OVER {_D} AS r2, avg(dz*dz) OVER {_D} AS v, avg(dx*dz) OVER {_D} AS xz, avg(dy*dz) OVER {_D} AS yz FROM q), t AS (SELECT *, dx - xz / greatest(v, 1e-14) * dz AS tx, dy - yz / greatest(v, 1e-14) * dz AS ty FROM b), h AS (SELECT frame, 0 - sum(p * ln(p)) / ln(10) AS entropy, max(p) AS mode, count(*) AS bins FROM (SELECT frame, bin, count(*) / max(n)::DOUBLE AS p FROM t GROUP BY ALL) GROUP BY frame),
+s AS (SELECT frame, max(n) AS n, avg(dz**3) / greatest(avg(dz*dz)**1.5, 1e-15) AS skew, avg(dz**4) / greatest(avg(dz*dz)**2, 1e-20) AS kurt, avg(rad*rad) / greatest(avg(rad)**2, 1e-20) AS rkurt, avg(u) AS level, avg(dz*dz) / greatest(max(hi - lo)**2, 1e-20) AS spread, avg(CASE WHEN u < 0.25 THEN 1.0 ELSE 0.0 END) AS low, avg(CASE WHEN u BETWEEN 0.25 AND 0.75 THEN 1.0 ELSE 0.0 END) AS mid, avg(CASE WHEN u > 0.75 THEN 1.0 ELSE 0.0 END) AS high, quantile_cont(u, 0.1) AS q1, quantile_cont(u, 0.25) AS q2, quantile_cont(u, 0.5) AS q3, quantile_cont(u, 0.75) AS q4, quantile_cont(u, 0.9) AS q5, max(gap) AS gap, corr(dz, rad) AS coupling, quantile_cont(sqrt(tx*tx + ty*ty), 0.9) AS t90, max(sqrt(tx*tx + ty*ty)) AS tmax, avg((tx*tx + ty*ty)**2) / greatest(avg(tx*tx + ty*ty)**2, 1e-20) AS tkurt, least(1, sqrt(avg((dz*dz - v)*tx)**2 + avg((dz*dz - v)*ty)**2) / sqrt(avg((dz*dz - v)**2) * avg(tx*tx + ty*ty))) AS bow FROM t GROUP BY frame)"""
+_SHAPE_NAMES = {"skew": "skew", "kurt": "kurt", "radial_kurt": "rkurt", "level": "level", "spread": "spread", "low": "low", "mid": "mid", "high": "high", "span50": "q4 - q2", "span80": "q5 - q1", "median": "q3", "tilt": "(q5 + q1 - 2 * q3) / greatest(q5 - q1, 1e-10)", "gap": "gap", "entropy": "entropy", "mode": "mode", "bins": "bins / least(n, 10)::DOUBLE", "coupling": "coupling", "lean90": "t90", "lean_max": "tmax", "lean_kurt": "tkurt", "bow": "bow"}
+
+
+@query("higher_moments", f"{_SHAPE} SELECT frame, {', '.join(f'round({e}, 5) AS {k}' for k, e in _SHAPE_NAMES.items())} FROM s JOIN h USING (frame)")
+def higher_moments(spark, sf):
+    """The 21 measures of a population's shape."""
+    p = points(spark, sf).select("frame", (F.col("x") / 10).alias("x"), F.col("z").alias("y"), F.col("y").alias("z"))
+    return r(moments.higher_moments(p, ["frame"]), *_SHAPE_NAMES).select("frame", *_SHAPE_NAMES)
+
+
+@query("height_order", f"{PTS}, k AS (SELECT frame, y, y - lag(y) OVER (PARTITION BY frame ORDER BY y) AS gap, avg(y) OVER {_D} AS m, row_number() OVER (PARTITION BY frame ORDER BY y) AS i, count(*) OVER {_D} AS n FROM pts), q AS (SELECT frame, max(gap) AS gap, max(y) - min(y) AS span, avg((y-m)**2) AS m2, avg((y-m)**3) AS m3, avg((y-m)**4) AS m4, {', '.join(f'sum(CASE WHEN i = floor(greatest(least(n * {p} + 0.5, n), 1)) THEN y * (1 - (greatest(least(n * {p} + 0.5, n), 1) - floor(greatest(least(n * {p} + 0.5, n), 1)))) WHEN i = floor(greatest(least(n * {p} + 0.5, n), 1)) + 1 THEN y * (greatest(least(n * {p} + 0.5, n), 1) - floor(greatest(least(n * {p} + 0.5, n), 1))) ELSE 0 END) AS q{round(p * 100)}' for p in (0.05, 0.25, 0.5, 0.75, 0.95))} FROM k GROUP BY frame) SELECT frame, round(gap / span, 6) AS gap_ratio, round((q75 - q25) / span, 6) AS quartile_ratio, round(m3 / m2**1.5, 5) AS skew, round(m4 / m2**2, 5) AS kurt, round(q50 - q5, 5) AS lower_half, round(q95 - q50, 5) AS upper_half FROM q")
+def height_order(spark, sf):
+    h = moments.height_order(points(spark, sf), ["frame"], "y")
+    return h.select("frame", rnd("gap_ratio", 6).alias("gap_ratio"), rnd("quartile_ratio", 6).alias("quartile_ratio"), *(rnd(c, 5).alias(c) for c in ("skew", "kurt", "lower_half", "upper_half")))
+
+
 @query("balanced_slope", f"{PTS}, o AS (SELECT frame, x, y, (coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y)) / 2 AS g FROM (SELECT DISTINCT frame, x, y FROM pts) WINDOW w AS (PARTITION BY frame ORDER BY y, x)), m AS (SELECT frame, sum(g*x)/sum(g) AS mx, sum(g*y)/sum(g) AS my FROM o GROUP BY frame) SELECT frame, round(sum(g*(x-mx)*(y-my))/sum(g*(y-my)*(y-my)), 6) AS slope FROM o JOIN m USING (frame) GROUP BY frame")
 def balanced_slope(spark, sf):
     w = Window.partitionBy("frame").orderBy("y", "x")

@@ -43,9 +43,13 @@ def availability(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.when(F.col("event_id") % 7 != 0, F.col("value") > 25), F.lit(True)).alias("available"))
 
 
-@query("lattice_constant", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 0.3 ELSE 0.6 END::DOUBLE AS spacing FROM part")
+@query("lattice_constant", "SELECT p_partkey, CASE WHEN p_size <= 20 THEN 12 ELSE 3 END::DOUBLE AS least_points FROM part")
 def lattice_constant(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") <= 20, 0.3).otherwise(0.6).alias("spacing"))
+    """A constant by the lattice's spacing; a spacing without one would fail the query."""
+    from plinth.operators.binning import spacing_constant
+
+    p = table(spark, sf, "part").withColumn("spacing", F.when(F.col("p_size") <= 20, 0.6).otherwise(0.3))
+    return p.select("p_partkey", spacing_constant(F.col("spacing"), {0.6: 12, 0.3: 3}).alias("least_points"))
 
 
 @query("class_parameters", "WITH o AS (SELECT * FROM (VALUES ('BRASS', 4), ('STEEL', 7)) t(k, own)) SELECT p_partkey, coalesce(own, 5) AS parameter FROM part LEFT JOIN o ON ends_with(p_type, k)")

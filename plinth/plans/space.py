@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plinth.operators import binning, graph, moments, signal, spatial
+from plinth.operators import binning, graph, moments, raster, signal, spatial
 from plinth.plans.catalog import PTS, points, query, rnd, table
 
 GRID = f"{PTS}, g AS (SELECT frame, CAST(floor(x / 5) AS BIGINT) AS bx, CAST(floor(y / 10) AS BIGINT) AS by, count(*) AS n, avg(y) AS v FROM pts GROUP BY ALL)"
@@ -63,11 +63,13 @@ def local_minimum(spark, sf):
 @query("hole_fill", f"{GRID}, f AS (SELECT frame, min(bx) AS x0, max(bx) AS x1, min(by) AS y0, max(by) AS y1 FROM g GROUP BY frame), a AS (SELECT frame, bx, by FROM f, LATERAL (SELECT unnest(generate_series(x0, x1)) AS bx) x, LATERAL (SELECT unnest(generate_series(y0, y1)) AS by) y) SELECT a.frame, a.bx, a.by, round(median(b.v), 5) AS filled, count(*) AS n FROM a {NB.format(r=1)} WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.frame = a.frame AND g.bx = a.bx AND g.by = a.by) GROUP BY ALL HAVING count(*) >= 3")
 def hole_fill(spark, sf):
     g = grid(spark, sf)
-    f = g.groupBy("frame").agg(F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1"))
-    every = f.select("frame", F.explode(F.sequence("x0", "x1")).alias("bx"), "y0", "y1").select("frame", "bx", F.explode(F.sequence("y0", "y1")).alias("by"))
-    holes = every.join(g, ["frame", "bx", "by"], "left_anti")
-    near = binning.neighbours(holes, g.select("frame", "bx", "by", F.col("v").alias("nv")), ["frame"], 1)
-    return near.groupBy("frame", "bx", "by").agg(rnd(F.median("nv"), 5).alias("filled"), F.count("*").alias("n")).where("n >= 3")
+    return signal.filled_holes(g, ["frame"], "v", 1, 3).select("frame", "bx", "by", rnd("filled", 5).alias("filled"), "n")
+
+
+@query("hole_fill_wide", f"{GRID.replace('GROUP BY ALL)', 'GROUP BY ALL HAVING count(*) >= 4)')}, f AS (SELECT frame, min(bx) AS x0, max(bx) AS x1, min(by) AS y0, max(by) AS y1 FROM g GROUP BY frame), a AS (SELECT frame, bx, by FROM f, LATERAL (SELECT unnest(generate_series(x0, x1)) AS bx) x, LATERAL (SELECT unnest(generate_series(y0, y1)) AS by) y) SELECT a.frame, a.bx, a.by, round(median(b.v), 5) AS filled, count(*) AS n FROM a {NB.format(r=2)} WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.frame = a.frame AND g.bx = a.bx AND g.by = a.by) GROUP BY ALL HAVING count(*) >= 3")
+def hole_fill_wide(spark, sf):
+    """The same over windows of five by five, where cells of few points are holes."""
+    return signal.filled_holes(grid(spark, sf).where("n >= 4"), ["frame"], "v", 2, 3).select("frame", "bx", "by", rnd("filled", 5).alias("filled"), "n")
 
 
 @query("directional_support", f"{GRID}, d AS (SELECT * FROM (VALUES (0, 1, 0), (1, 0, 1), (2, 1, 1), (3, 1, -1)) t(o, dx, dy)), k AS (SELECT o, s * dx AS dx, s * dy AS dy FROM d, (VALUES (-2), (-1), (1), (2)) u(s)), c AS (SELECT a.frame, a.bx, a.by, o, sum(b.n) AS s FROM g a, k JOIN g b ON TRUE WHERE a.frame = b.frame AND b.bx = a.bx + dx AND b.by = a.by + dy GROUP BY ALL) SELECT frame, bx, by, max(s)::BIGINT AS best FROM c GROUP BY ALL")
@@ -79,10 +81,22 @@ def directional_support(spark, sf):
     return spread.join(other, ["frame", "nx", "ny"]).groupBy("frame", "bx", "by", "o").agg(F.sum("nn").alias("s")).groupBy("frame", "bx", "by").agg(F.max("s").alias("best"))
 
 
-@query("multiscale_moments", f"{GRID} SELECT a.frame, a.bx, a.by, sum(b.n) FILTER (WHERE greatest(abs(a.bx - b.bx), abs(a.by - b.by)) <= 1)::BIGINT AS n1, sum(b.n)::BIGINT AS n2, round(sum(b.n * b.v) / sum(b.n), 5) AS m2 FROM g a {NB.format(r=2)} GROUP BY ALL")
+RADII = (0, 1, 2, 4, 7)
+_WITHIN = "FILTER (WHERE greatest(abs(a.bx - b.bx), abs(a.by - b.by)) <= {r})"
+
+
+@query("multiscale_moments", f"{GRID} SELECT a.frame, a.bx, a.by, {', '.join(f'(sum(b.n) {_WITHIN.format(r=r)})::BIGINT AS n{r}, round(sum(b.n * b.v) {_WITHIN.format(r=r)} / sum(b.n) {_WITHIN.format(r=r)}, 5) AS m{r}, round(sum(b.n * b.v * b.v) {_WITHIN.format(r=r)} / sum(b.n) {_WITHIN.format(r=r)} - (sum(b.n * b.v) {_WITHIN.format(r=r)} / sum(b.n) {_WITHIN.format(r=r)})**2, 4) AS s{r}' for r in RADII)} FROM g a {NB.format(r=7)} GROUP BY a.frame, a.bx, a.by")
 def multiscale_moments(spark, sf):
-    near = F.greatest(F.abs("dx"), F.abs("dy")) <= 1
-    return beside(grid(spark, sf), 2, True).groupBy("frame", "bx", "by").agg(F.sum(F.when(near, F.col("nn"))).alias("n1"), F.sum("nn").alias("n2"), rnd(F.sum(F.col("nn") * F.col("nv")) / F.sum("nn"), 5).alias("m2"))
+    """Pooled count, mean and variance at every radius, two one-dimensional passes each."""
+    out = g = grid(spark, sf)
+    out = out.select("frame", "bx", "by")
+    n, v = F.col("n"), F.col("v")
+    for r in RADII:
+        sums = raster.box_sums(g, ["frame"], {f"__n{r}": n, f"__v{r}": n * v, f"__q{r}": n * v * v}, r)
+        out = out.join(sums, ["frame", "bx", "by"])
+    mean = lambda r: F.col(f"__v{r}") / F.col(f"__n{r}")
+    cols = [c for r in RADII for c in (F.col(f"__n{r}").alias(f"n{r}"), rnd(mean(r), 5).alias(f"m{r}"), rnd(F.col(f"__q{r}") / F.col(f"__n{r}") - mean(r) ** 2, 4).alias(f"s{r}"))]
+    return out.select("frame", "bx", "by", *cols)
 
 
 @query("mask_dilation", f"{GRID}, m AS (SELECT frame, bx, by FROM g WHERE n >= 6), o AS (SELECT * FROM generate_series(-1, 1) a(i), generate_series(-1, 1) b(j)) SELECT DISTINCT frame, bx + i AS bx, by + j AS by FROM m, o")
