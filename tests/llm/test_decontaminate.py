@@ -1,7 +1,9 @@
 """Decontamination: exact distances, recall against brute force, clean texts."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from plinth.llm import decontaminate as dc
@@ -32,10 +34,13 @@ def edited(rng, text, rate):
 
 
 def test_distance(items):
-    known, rng = dc.Items(items[:5], 0.8, 36, 18, 2), random.Random(0)
+    known, rng = dc.Items(items[:5], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(0)
     for i in range(5):
         window = dc.normal("some words before " + edited(rng, items[i][1], 0.1) + " and after")
         assert known.distance(i, window) == least_distance(known.raws[i], window)
+    few = dc.Items([(0, "a"), (1, "ab" * 32), (2, "abc" * 43), (3, "x" * 64)], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS)
+    for i, window in itertools.product(range(4), [b"b", b"ab" * 30, b"abd" * 50, b"x" * 70, b"abcabcab" * 9]):
+        assert few.distance(i, window) == least_distance(few.raws[i], window)
 
 
 @pytest.mark.parametrize("rate, least", [(0.0, 1.0), (0.03, 1.0), (0.1, 0.95)])
@@ -54,12 +59,12 @@ def test_recall(items, rows, rate, least):
     assert hit >= least * total > 0
 
 
-@pytest.mark.parametrize("rate", [0.15, 0.2])
+@pytest.mark.parametrize("rate", [0.15, 0.18, 0.2])
 @pytest.mark.parametrize("length", [12, 20, 35, 50, 65, 90, 120, 200, 400])
 def test_recall_by_length(items, rows, length, rate):
     """Scattered edits, as many as the rate says; lengths below the benchmark's are beginnings of its items."""
     raws = sorted({dc.normal(t)[: length if length < 80 else None] for _, t in items}, key=lambda r: abs(len(r) - length))[:12]
-    known, rng = dc.Items([(i, r.decode()) for i, r in enumerate(raws)], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(4)
+    known, rng = dc.Items([(i, r.decode(errors="ignore")) for i, r in enumerate(raws)], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(4)
     hosts = [t for _, t in rows if t and len(t) > 500]
     hit = total = 0
     for _ in range(60):
@@ -76,6 +81,27 @@ def test_recall_by_length(items, rows, length, rate):
     assert hit >= 0.9 * total > 0
 
 
+def test_the_stretches_lose_nothing(items):
+    known, rng = dc.Items(items[:40], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(8)
+    near = 0
+    for _ in range(400):
+        i = rng.randrange(len(known.raws))
+        leak = rng.random() < 0.8
+        window = dc.normal("words before " + edited(rng, known.raws[i].decode(), rng.choice([0.1, 0.2, 0.3])) + " after") if leak else known.raws[rng.randrange(40)]
+        flat = np.frombuffer(window + b"\0", np.uint8)
+        passed = known.plausible(flat, np.array([i]), np.array([13 if leak else 0]), np.array([0]), np.array([len(window)]))[0]
+        if known.distance(i, window) <= known.allowed[i]:
+            near += 1
+            assert passed
+    assert near > 50
+
+
+def test_too_many_items(spark, docs, monkeypatch):
+    monkeypatch.setattr(dc, "MOST_BYTES", 10)
+    with pytest.raises(ValueError):
+        dc.find_items(docs, spark.createDataFrame([(1, "more than ten bytes")], "item_id long, text string"))
+
+
 def test_query_and_filter(spark, docs, rows, items, sf):
     held = {k for k, t in rows if t and any(dc.normal(x) in dc.normal(t) for _, x in items)}
     leaks = [(92000 + i, f"Before it. {t} After it.") for i, (_, t) in enumerate(items[:10])]
