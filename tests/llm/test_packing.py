@@ -93,3 +93,15 @@ def test_contract(docs, rows, capacity):
 
 def test_empty_table(none):
     assert packing.pack(none, PATH).count() == 0
+
+
+def test_ids_of_mixed_white_space():
+    """No text of odd white space, scripts and special strings has other ids than the library's, or fails."""
+    import random
+
+    rng, coder = random.Random(5), byte_bpe.ByteBPE(PATH)
+    marks = [" ", "\t", "\n", " ", "\x1c", "\x85", "　", "\r", "a", "b", "é", "漢", "字", "'s", "1", "!", "<|", "\0"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 14))) for _ in range(30_000)] + ["a\tb\n", "un deux\n\ntrois", "a\tb\tc d"]
+    for i in range(0, len(texts), 500):
+        for t, ids in zip(texts[i : i + 500], coder.encode(texts[i : i + 500])):
+            assert ids.tolist() == coder.tokenizer.encode(t, add_special_tokens=False).ids
