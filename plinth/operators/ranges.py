@@ -14,7 +14,7 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, hal
 
 
 def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, begin: str, end: str, bucket: float, how: str = "inner") -> DataFrame:
-    """Points with the spans [begin, end] that hold them; a span is entered in every bucket that it touches."""
+    """Points with the spans [begin, end] that hold them; a span is entered in every bucket that it touches, so buckets should be about as wide as spans."""
     entered = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(begin) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long"))))
     p = points.withColumn("__b", F.floor(F.col(time) / bucket).cast("long"))
     on = [p[k] == entered[k] for k in keys] + [p["__b"] == entered["__b"], p[time] >= entered[begin], p[time] <= entered[end]]
@@ -38,3 +38,20 @@ def sweep(spans: DataFrame, keys: list[str], begin: str, end: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("at")
     out = net.select(*keys, F.col("at").alias("begin"), F.lead("at").over(w).alias("end"), F.sum("step").over(w).alias("cover"))
     return out.where(F.col("end").isNotNull() & (F.col("cover") > 0))
+
+
+def scan_match(scans: DataFrame, packets: DataFrame, scan: str, frame: str, column: str, reach: int, least: int = 16) -> DataFrame:
+    """scan, frame, start, columns: the packet frame whose column stamps less the scan's column times (offset) are one exact start, over ``least`` columns or more.
+
+    A scan's header (about) says within ``reach`` when it began, which keeps the join to packets of that time. A scan with
+    no such frame, or with several, is an error.
+    """
+    expected = scans.withColumn("__e", F.col("about") + F.col("offset"))
+    probes = expected.withColumn("__b", F.explode(F.array(*(F.floor(F.col("__e") / reach) + i for i in (-1, 0, 1)))))
+    p = packets.select(F.col(frame), F.col(column), "stamp", F.floor(F.col("stamp") / reach).alias("__b"))
+    starts = probes.join(p, [column, "__b"]).where(F.abs(F.col("stamp") - F.col("__e")) <= reach).select(scan, frame, (F.col("stamp") - F.col("offset")).alias("start"))
+    exact = starts.groupBy(scan, frame).agg(F.count("*").alias("columns"), F.min("start").alias("start"), F.max("start").alias("__l")).where((F.col("columns") >= least) & (F.col("start") == F.col("__l")))
+    found = exact.groupBy(scan).agg(F.count("*").alias("__n"), F.min(F.struct(frame, "start", "columns")).alias("__f"))
+    every = scans.select(scan).distinct().join(found, scan, "left")
+    sure = F.when(F.col("__n") == 1, F.col("__f")).otherwise(F.raise_error(F.concat(F.lit("no single frame for scan "), F.col(scan).cast("string"))))
+    return every.withColumn("__f", sure).select(scan, f"__f.{frame}", "__f.start", "__f.columns")

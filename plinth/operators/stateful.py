@@ -50,7 +50,7 @@ class WheelSpeed:
 
 
 class Horizon:
-    """The newest sources of a key: at most ``most``, none older than ``age``; a new segment clears them."""
+    """The newest sources of a key: at most ``most``, none older than ``age``; a new segment clears them. A second source of the same time takes the place of the first."""
 
     def __init__(self, most: int, age: float) -> None:
         self.most, self.age, self.held, self.segment = most, age, [], None
@@ -58,9 +58,9 @@ class Horizon:
     def step(self, time: float, value: float, segment: int) -> tuple[int, float, bool]:
         if segment != self.segment:
             self.held, self.segment = [], segment
-        if self.held and time <= self.held[-1][0]:
-            raise ValueError("time must grow")
-        self.held = [(t, v) for t, v in self.held if time - t <= self.age][-(self.most - 1) :] if self.most > 1 else []
+        if self.held and time < self.held[-1][0]:
+            raise ValueError("time must not fall")
+        self.held = [(t, v) for t, v in self.held if time - t <= self.age and t < time][-(self.most - 1) :] if self.most > 1 else []
         self.held.append((time, value))
         return len(self.held), sum(v for _, v in self.held) / len(self.held), len(self.held) >= 2
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plinth.operators.binning import finite
+
 
 @lru_cache(maxsize=8)
 def read_model(path: str) -> dict:
@@ -37,16 +39,15 @@ def walk(features: np.ndarray, model: dict) -> np.ndarray:
 
 
 def score(df: DataFrame, model: dict, features: list[str], name: str = "score") -> DataFrame:
-    """Adds the ensemble's score; a row with a missing or infinite feature has none."""
+    """Adds the ensemble's score. Missing and infinite features count as 0; a model with a scale rounds its features half up to 1 / scale."""
 
     @F.pandas_udf("double")
     def run(*columns: pd.Series) -> pd.Series:
         x = np.stack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns], axis=1)
-        ok = np.isfinite(x).all(axis=1)
-        out = np.full(len(x), np.nan)
-        if ok.any():
-            out[ok] = walk(x[ok], model)
-        return pd.Series(out).where(ok, None)
+        x = np.where(np.isfinite(x), x, 0.0)
+        if model.get("scale"):
+            x = np.floor(x * model["scale"] + 0.5) / model["scale"]
+        return pd.Series(walk(x, model))
 
     return df.withColumn(name, run(*(F.col(f).cast("double") for f in features)))
 
@@ -58,6 +59,9 @@ def score_column(model: dict, features: list[str]) -> Column:
         if model["leaf"][node]:
             return F.lit(float(model["value"][node]))
         c = F.col(features[model["feature"][node]]).cast("double")
+        c = F.when(finite(c), c).otherwise(0.0)
+        if model.get("scale"):
+            c = F.floor(c * float(model["scale"]) + 0.5) / float(model["scale"])
         if model.get("kind") == "forest":
             c = c.cast("float").cast("double")
         return F.when(c <= float(model["threshold"][node]), tree(model["left"][node])).otherwise(tree(model["right"][node]))

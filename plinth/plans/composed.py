@@ -8,19 +8,20 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plinth.functions import scalar
-from plinth.operators import asof, binning, graph, moments, spatial
+from plinth.operators import asof, binning, graph, moments, ranges, spatial
 from plinth.plans.catalog import EV, PTS, points, query, rnd, stream, table
 from plinth.plans.space import _CC, COMP, GRID, IDS, beside, comps, grid, marked
 
 
-@query("scan_match", f"{PTS}, p AS (SELECT frame, CAST(floor(x) AS BIGINT) AS col, min(y) AS y FROM pts GROUP BY ALL) SELECT a.frame AS scan, b.frame AS packet, count(*) AS hits, min(a.col) AS first_col FROM p a JOIN p b ON a.col = b.col AND abs(a.y - b.y) < 0.5 AND a.frame < b.frame GROUP BY ALL HAVING count(*) >= 2")
+_JITTER = "(c * (f * 7919 + 13)) % 10007"
+
+
+@query("scan_match", f"{PTS}, p AS (SELECT DISTINCT frame AS f, CAST(x AS BIGINT) AS c FROM pts) SELECT a.f AS scan, b.f AS frame, min(b.f * 100000 + b.c * 10 + (b.c * (b.f * 7919 + 13)) % 10007 - a.c * 10 - (a.c * (a.f * 7919 + 13)) % 10007) AS start, count(*) AS columns FROM p a JOIN p b ON a.c = b.c GROUP BY a.f, b.f HAVING count(*) >= 16 AND min(b.f * 100000 + (b.c * (b.f * 7919 + 13)) % 10007 - (a.c * (a.f * 7919 + 13)) % 10007) = max(b.f * 100000 + (b.c * (b.f * 7919 + 13)) % 10007 - (a.c * (a.f * 7919 + 13)) % 10007)")
 def scan_match(spark, sf):
-    p = points(spark, sf).groupBy("frame", F.floor("x").alias("col")).agg(F.min("y").alias("y"))
-    step = F.floor(F.col("y") / 0.5)
-    a = p.select(F.col("frame").alias("scan"), "col", F.col("y").alias("ya"), F.explode(F.array(step - 1, step, step + 1)).alias("k"))
-    b = p.select(F.col("frame").alias("packet"), "col", F.col("y").alias("yb"), step.alias("k"))
-    j = a.join(b, ["col", "k"]).where((F.abs(F.col("ya") - F.col("yb")) < 0.5) & (F.col("scan") < F.col("packet")))
-    return j.groupBy("scan", "packet").agg(F.count("*").alias("hits"), F.min("col").alias("first_col")).where("hits >= 2")
+    """Scans find the packet frame with their exact column times."""
+    p = points(spark, sf).select(F.col("frame").cast("long").alias("f"), F.col("x").cast("long").alias("c")).distinct().withColumn("offset", F.col("c") * 10 + F.expr(_JITTER))
+    scans = p.select(F.col("f").alias("scan"), "c", "offset", (F.col("f") * 100000 + 300).alias("about"))
+    return ranges.scan_match(scans, p.select(F.col("f").alias("frame"), "c", (F.col("f") * 100000 + F.col("offset")).alias("stamp")), "scan", "frame", "c", 50000)
 
 
 @query("dense_vertical_run", f"{PTS}, k AS (SELECT frame, y, lead(y, 4) OVER (PARTITION BY frame ORDER BY y) - y <= 0.8 AS dense FROM pts), d AS (SELECT frame, y, CASE WHEN y - lag(y) OVER (PARTITION BY frame ORDER BY y) > 0.8 THEN 1 ELSE 0 END AS n FROM k WHERE dense), g AS (SELECT frame, y, sum(n) OVER (PARTITION BY frame ORDER BY y) AS island FROM d), s AS (SELECT frame, max(y) - min(y) AS span FROM g GROUP BY frame, island) SELECT frame, round(max(span), 5) AS longest, count(*) AS runs FROM s GROUP BY frame")

@@ -28,6 +28,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, require
     return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, doubles in full."""
+    df.write.option("header", True).csv(path)
+
+
 def read_poses(spark: SparkSession, path: str, frames: DataFrame, schema: str) -> DataFrame:
     """Poses of the requested frames: canonical pose_* columns win over legacy odom_* ones. Repeated and missing frames are errors."""
     poses = read_csv(spark, path, schema, ["frame_index"])

@@ -94,3 +94,20 @@ def decode(df: DataFrame, column: str, layout: np.dtype) -> DataFrame:
 def field_view(blob: bytes, count: int, step: int, offset: int, kind: str) -> np.ndarray:
     """One field of a strided point blob, as it lies, in the byte order that kind names."""
     return np.ndarray((count,), np.dtype(kind), blob, offset, (step,))
+
+
+def blob_rows(df: DataFrame, keys: list[str], blob: str, count: str, step: int, fields: dict[str, tuple[int, str]]) -> DataFrame:
+    """keys, point (from 1) and the fields (offset, byte order and kind) of strided point blobs, one row a point; a blob that is too short is an error."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "point bigint", *(f"`{f}` double" for f in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (n, raw) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                if n and len(raw) < n * step:
+                    raise ValueError(f"a blob of {len(raw)} bytes can't hold {n} points")
+                views = [pa.array(field_view(raw, n, step, offset, kind).astype(np.float64)) for offset, kind in fields.values()]
+                same = [pa.concat_arrays([batch.column(k).slice(i, 1)] * n) if n else batch.column(k).slice(0, 0) for k in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(1, n + 1)), *views], names=[*keys, "point", *fields])
+
+    return df.select(*keys, F.col(count).cast("long"), blob).mapInArrow(run, schema)

@@ -138,7 +138,11 @@ def test_tree_paths_agree(spark):
 
     df = spark.createDataFrame([(1.0, 60.0, 0.1), (30.0, 10.0, 0.0), (None, 1.0, 1.0)], "x double, y double, z double")
     got = trees.score(df, FOREST, ["x", "y", "z"]).withColumn("c", trees.score_column(FOREST, ["x", "y", "z"])).collect()
-    assert got[0].score == pytest.approx(got[0].c) and got[1].score == pytest.approx(got[1].c) and got[2].score is None
+    assert got[0].score == pytest.approx(got[0].c) and got[1].score == pytest.approx(got[1].c) and got[2].score == pytest.approx(got[2].c)
+    scaled = FOREST | {"scale": 10}
+    near = spark.createDataFrame([(25.04, 60.0, 0.1), (25.06, 60.0, float("inf"))], "x double, y double, z double")
+    rows = trees.score(near, scaled, ["x", "y", "z"]).withColumn("c", trees.score_column(scaled, ["x", "y", "z"])).collect()
+    assert [r.score for r in rows] == pytest.approx([r.c for r in rows]) and rows[0].score < rows[1].score
 
 
 def test_mixture_bound_never_falls():
@@ -161,8 +165,9 @@ def test_horizon_and_wheel_states():
     h = stateful.Horizon(3, 1.0)
     assert [h.step(t, t, 1)[0] for t in (0.0, 0.5, 0.9, 1.2)] == [1, 2, 3, 3]
     assert h.step(1.3, 1.0, 2)[0] == 1
+    assert h.step(1.3, 5.0, 2) == (1, 5.0, False)
     with pytest.raises(ValueError):
-        h.step(1.3, 1.0, 2)
+        h.step(1.2, 1.0, 2)
     w = stateful.WheelSpeed(1.0, 0.5, 1.0)
     w.step(0.0, "a", 1.0), w.step(0.0, "b", 1.2)
     assert w.step(0.0, "c", 9.0) == (pytest.approx(1.1), 2)
