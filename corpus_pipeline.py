@@ -3,6 +3,9 @@
 Every stage but the last returns the columns of documents. The quality classifier is fitted on labels that aren't held
 out; documents that it rejects go. Of each class of near duplicates one document stays. Passages that repeat across the
 documents that are left go from their texts. Documents that hold a benchmark passage go. The rest is packed.
+
+In every stage null texts are empty, empty tables (documents, labels, benchmark) are allowed, rows that repeat are judged as
+often as they come, texts of any length are read whole, and further columns come along under any name.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ PASSAGE_BYTES = 200
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier scores 0.5 or more; without labels, all. A score of exactly 0.5 stays."""
     small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     score = fresh(docs, "__score")[0]
@@ -29,21 +33,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the least key, of equal keys that with the least text id."""
     small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of PASSAGE_BYTES that also stand elsewhere; n_chars follows. A text may become empty."""
     small_batches(spark)
     return suffix_dedup.remove_repeats(docs, least=PASSAGE_BYTES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item; without items, all."""
     small_batches(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its sequence and place there; an empty text is one piece of one id."""
     small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
