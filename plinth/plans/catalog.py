@@ -70,4 +70,4 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 EV = "WITH ev AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS us, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / 1e6 AS t FROM events)"
 
 
-from plinth.plans import composed, curbs, detectors, evaluation, geometry, lattice, logic, navigation, sequences, sources, space, timing  # noqa: E402, F401
+from plinth.plans import composed, curbs, detectors, evaluation, geometry, lattice, logic, navigation, sequences, sources, space, structures, timing  # noqa: E402, F401
