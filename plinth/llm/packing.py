@@ -7,7 +7,9 @@ a list of rank intervals of each length with the sequences and offsets that they
 and independent of the number of documents. Pieces then take their places by their rank within their length. Ranks are
 counted in hashed buckets and shifted by the buckets before, so that a length that most pieces share is spread out too.
 
-Null texts are empty and give one piece, the end id alone. Rows with equal keys are separate documents.
+Null texts are empty and give one piece, the end id alone. Rows with equal keys are separate documents. Ties: pieces of one
+length are ranked by hashed bucket, key, piece and checksum; equal ones are interchangeable. Long texts are encoded whole. An
+empty table gives no pieces. Columns other than key and text are never read.
 """
 
 from __future__ import annotations

@@ -15,9 +15,16 @@ suffix array, so its suffixes are thinned and dealt out without losing a match:
    gets its part, not neighbours in the array only.
 4. The parts go back to every occurrence, and each text is put together again with its own.
 
+Anchors may be chosen for shorter repeats (``passage``) than those removed (``least``): the neighbourhoods still reach as far
+as a match of ``least`` bytes, so one pass over the intervals gives the parts of both lengths.
+
 A gram with more than ``split`` different neighbourhoods isn't gathered: each of its windows of ``least`` bytes is counted
 by its 128-bit hash instead, which gives the same parts with sums that combine before they move.
 
+Null and empty texts have no bytes and no spans; rows that repeat, keys included, hold each other's bytes and lose them all.
+Ties between equal grams are settled by place. Very long texts go in segments of SEGMENT bytes; an empty table gives an empty
+one. remove_repeats keeps all columns, whatever their names; repeat_digests reads key and text only.
+
 Matches never cross documents. Null texts are empty. Texts shorter than ``least`` keep all bytes, whatever their copies.
 Rows with equal keys and texts are copies of one another. Overlapping occurrences in one text count.
 """
@@ -36,6 +43,8 @@ from pyspark.sql import types as T
 from plinth.llm._common import cut, flat_bytes, fresh, sliced, small_batches, table, text_or_empty
 
 LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 2 << 20
+#: Passages that repeat are reported from so many bytes and, further, words on.
+PASSAGE, PASSAGE_WORDS = 200, 50
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -59,8 +68,8 @@ def _sliding(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors in flat and their hashes; begins and ends of the strings that are repeated within their own run.
+def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int, longer: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the anchors in flat and their hashes; begins and ends of the strings of ``least`` bytes that are repeated within their own run, and of those of ``longer`` bytes.
 
     Segments [start, end) follow one another and matches don't cross them. Of several least grams in a window the first is
     its anchor, or the last if the run of them may have begun before the window: so a run has one anchor at either end, not
@@ -70,7 +79,7 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
     none = np.zeros(0, np.int64)
     n, width = len(flat), least - gram + 1
     if n < least:
-        return none, none, none, none
+        return none, none, [(none, none)] * (2 if longer else 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE)[:n], dtype=np.uint64)])
     back = _powers(n, _BACK)
     code = (sums[gram:] - sums[:-gram]) * back[: n - gram + 1]
@@ -89,7 +98,7 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
     window = np.flatnonzero(np.cumsum(valid)[: len(first)] > 0)
     pick = first[window]
     tied = np.flatnonzero(pick != last[window])
-    local = none
+    local = [none] * (2 if longer else 1)
     if len(tied):
         i, one, other = window[tied], pick[tied], last[window[tied]]
         # the period: how far on the first of the equal grams comes again
@@ -120,15 +129,24 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
         on[on] = same(i[on], ahead[on], np.full(int(on.sum()), least))
         held = whole & (i >= period) & is_window[before] & (np.searchsorted(starts, before, side="right") == segment)
         held[held] = same(i[held], before[held], np.full(int(held.sum()), least))
-        local = np.unique(np.concatenate([i[on], ahead[on]]))
+        local[0] = np.unique(np.concatenate([i[on], ahead[on]]))
+        if longer:  # of a run that goes on for so long, the longer strings come again one period on too
+            far = whole & (i + period + longer <= ends[segment - 1])
+            far[far] = same(i[far], i[far] + period[far], np.full(int(far.sum()), longer))
+            local[1] = np.unique(np.concatenate([i[far], i[far] + period[far]]))
         keep = np.ones(len(window), bool)
         keep[tied[held]] = False
         pick = pick[keep]
     at = np.unique(pick)
-    breaks = np.flatnonzero(np.diff(local) > 1)
-    begins = local[np.concatenate([[0], breaks + 1])] if len(local) else none
-    finishes = (local[np.concatenate([breaks, [len(local) - 1]])] + least) if len(local) else none
-    return at, code[at].view(np.int64), begins, finishes
+    return at, code[at].view(np.int64), [_covered(places, size) for places, size in zip(local, (least, longer))]
+
+
+def _covered(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of strings of one size that begin at sorted places."""
+    if not len(places):
+        return places, places
+    breaks = np.flatnonzero(np.diff(places) > 1)
+    return places[np.concatenate([[0], breaks + 1])], places[np.concatenate([breaks, [len(places) - 1]])] + size
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -137,26 +155,31 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k1"), F.xxhash64(whole).alias("__k2"), whole.alias("__text"))
 
 
-def _anchor_rows(rows: DataFrame, least: int, gram: int) -> DataFrame:
+def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = None) -> DataFrame:
+    """Anchors (h), and the spans that are repeated within their own run (kind 0 of the longer strings, or of the only ones; 1 of the shorter)."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text", SEGMENT):
             flat, at = flat_bytes(batch.column(2))
             for first in range(0, max(1, len(flat)), SEGMENT):  # a long text goes in segments; each window is in one of them
-                last = min(len(flat), first + SEGMENT + least - 1)
+                last = min(len(flat), first + SEGMENT + (longer or least) - 1)
                 starts, ends = np.clip(at[:-1], first, last), np.clip(at[1:], first, last)
                 some = ends > starts
-                place, code, begins, finishes = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram)
-                # anchors have a hash, runs an end
+                place, code, local = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram, longer)
+                # anchors have a hash, runs a kind and an end
+                begins, finishes = (np.concatenate(x) for x in zip(*local))
+                kinds = np.repeat(np.arange(len(local))[::-1], [len(b) for b, _ in local])
                 place = np.concatenate([place, begins]) + first
                 doc = np.searchsorted(at, place, side="right") - 1
                 if len(place):
                     hashes = pa.concat_arrays([pa.array(code), pa.nulls(len(begins), pa.int64())])
                     stops = pa.concat_arrays([pa.nulls(len(code), pa.int64()), pa.array(finishes + first - at[doc[len(code) :]], pa.int64())])
-                    yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(place - at[doc]), stops], names=["h", "__k1", "__k2", "pos", "end"])
+                    kind = pa.concat_arrays([pa.nulls(len(code), pa.int32()), pa.array(kinds, pa.int32())])
+                    yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(place - at[doc]), stops, kind], names=["h", "__k1", "__k2", "pos", "end", "kind"])
                 if last == len(flat):
                     break
 
-    return rows.mapInArrow(find, "h bigint, __k1 bigint, __k2 bigint, pos bigint, end bigint")
+    return rows.mapInArrow(find, "h bigint, __k1 bigint, __k2 bigint, pos bigint, end bigint, kind int")
 
 
 def _neighbourhoods(rows: DataFrame, least: int, gram: int) -> DataFrame:
@@ -226,19 +249,20 @@ def prefix_intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((depth, first))
 
 
-def repeats(members: list[tuple[int, bytes, int]], least: int) -> list[tuple[int, int]]:
-    """How far left and right of its anchor each member is repeated; (0, 0) where it isn't. members: left, context, count; contexts differ."""
+def repeats(members: list[tuple[int, bytes, int]], *lengths: int) -> list[list[tuple[int, int]]]:
+    """For each length, how far left and right of its anchor each member is repeated; (0, 0) where it isn't. members: left, context, count; contexts differ."""
     n = len(members)
-    best = [(0, 0)] * n
+    best = [[(0, 0)] * n for _ in lengths]
     for i, (left, context, count) in enumerate(members):
-        if count > 1 and len(context) >= least:
-            best[i] = (left, len(context) - left)
+        for k, least in enumerate(lengths):
+            if count > 1 and len(context) >= least:
+                best[k][i] = (left, len(context) - left)
     if n == 1:
         return best
     rights = [context[left:] for left, context, _ in members]
     lefts = [context[:left][::-1] for left, context, _ in members]
-    # of a repeat of ``least`` bytes, half stands right of the anchor or half stands left of it
-    half = (least + 1) // 2
+    # of a repeat of the least length, half stands right of the anchor or half stands left of it
+    half = (min(lengths) + 1) // 2
     for ahead, behind, swapped in ((rights, lefts, False), (lefts, rights, True)):
         alike: dict[bytes, list[int]] = {}
         for i, x in enumerate(ahead):
@@ -246,11 +270,11 @@ def repeats(members: list[tuple[int, bytes, int]], least: int) -> list[tuple[int
                 alike.setdefault(x[:half], []).append(i)
         for some in alike.values():
             if len(some) > 1:
-                _extend(some, ahead, behind, least, best, swapped)
+                _extend(some, ahead, behind, lengths, best, swapped)
     return best
 
 
-def _extend(some: list[int], ahead: list[bytes], behind: list[bytes], least: int, best: list[tuple[int, int]], swapped: bool) -> None:
+def _extend(some: list[int], ahead: list[bytes], behind: list[bytes], lengths: tuple[int, ...], best: list[list[tuple[int, int]]], swapped: bool) -> None:
     """The members' enhanced suffix array by what is ahead, its intervals, and in each the longest extensions behind."""
     if len(some) == 2:
         a, b = some
@@ -264,15 +288,17 @@ def _extend(some: list[int], ahead: list[bytes], behind: list[bytes], least: int
             inside = sorted(array[first : last + 1], key=rank.__getitem__)
             found += [(a, b, _common(behind[a], behind[b]), depth) for a, b in zip(inside, inside[1:])]
     for a, b, back, on in found:
-        if back + on >= least:
-            left, right = (on, back) if swapped else (back, on)
-            for i in (a, b):
-                best[i] = (max(best[i][0], left), max(best[i][1], right))
+        left, right = (on, back) if swapped else (back, on)
+        for mine, least in zip(best, lengths):
+            if back + on >= least:
+                for i in (a, b):
+                    mine[i] = (max(mine[i][0], left), max(mine[i][1], right))
 
 
-def _parts(counted: DataFrame, least: int, parts: int) -> DataFrame:
-    """c1, c2, l, r of the neighbourhoods with repeats, from one sorted pass over each gram's."""
-    schema = "c1 bigint, c2 bigint, l bigint, r bigint"
+def _parts(counted: DataFrame, lengths: tuple[int, ...], parts: int) -> DataFrame:
+    """kind (the place of the length), c1, c2, l, r of the neighbourhoods with repeats, from one sorted pass over each gram's."""
+    names = ["kind", "c1", "c2", "l", "r"]
+    schema = "kind bigint, c1 bigint, c2 bigint, l bigint, r bigint"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, group = None, {}
@@ -280,11 +306,12 @@ def _parts(counted: DataFrame, least: int, parts: int) -> DataFrame:
 
         def close() -> None:
             members = [(left, context, n) for left, context, n in group.values()]
-            out.extend((c1, c2, l, r) for (c1, c2), (l, r) in zip(group, repeats(members, least)) if l + r >= least)
+            for kind, (least, found) in enumerate(zip(lengths, repeats(members, *lengths))):
+                out.extend((kind, c1, c2, l, r) for (c1, c2), (l, r) in zip(group, found) if l + r >= least)
             group.clear()
 
         def flushed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["c1", "c2", "l", "r"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
             out.clear()
             return batch
 
@@ -306,15 +333,15 @@ def _parts(counted: DataFrame, least: int, parts: int) -> DataFrame:
     return rows.mapInArrow(scan, schema)
 
 
-def _hot_parts(counted: DataFrame, least: int) -> DataFrame:
-    """The same by counts of window hashes: nothing of a gram is gathered."""
+def _hot_parts(counted: DataFrame, least: int, gram: int, kind: int) -> DataFrame:
+    """The same, of one length, by counts of window hashes: nothing of a gram is gathered."""
     schema = "w1 bigint, w2 bigint, c1 bigint, c2 bigint, left int, n bigint"
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for h, c1, c2, left, context, n in zip(*(c.to_pylist() for c in batch.columns)):
                 out = []
-                for s in range(max(0, left + least - len(context)), left + 1):
+                for s in range(max(0, left + least - len(context)), min(left, least - gram) + 1):  # windows that hold the gram
                     # with the gram and its place, so that a window counts once for each of its grams
                     mark = hashlib.blake2b(context[left - s : left - s + least], digest_size=16, salt=h.to_bytes(8, "little", signed=True), person=s.to_bytes(4, "little")).digest()
                     out.append((int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True), c1, c2, s, n))
@@ -324,31 +351,36 @@ def _hot_parts(counted: DataFrame, least: int) -> DataFrame:
     whole = counted.groupBy("h", "c1", "c2").agg(F.first("left").alias("left"), F.first("context").alias("context"), F.sum("n").alias("n"))
     rows = whole.select("h", "c1", "c2", "left", "context", "n").mapInArrow(windows, schema)
     again = rows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-    return rows.join(again, ["w1", "w2"], "left_semi").groupBy("c1", "c2").agg(F.max("left").cast("long").alias("l"), (F.lit(least) - F.min("left")).cast("long").alias("r"))
+    return rows.join(again, ["w1", "w2"], "left_semi").groupBy(F.lit(kind).cast("long").alias("kind"), "c1", "c2").agg(F.max("left").cast("long").alias("l"), (F.lit(least) - F.min("left")).cast("long").alias("r"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
-    """docs by __k1, __k2, and the spans (array of begin, end, in bytes, unordered) of the texts that have repeats."""
+def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lengths = (least,) if passage is None else (least, passage)
     rows = _keyed(docs, key, text)
-    read = cut(_anchor_rows(rows, least, gram), "anchors")
-    found, inner = read.where("h is not null").drop("end"), read.where("h is null").select("__k1", "__k2", F.col("pos").alias("begin"), "end")
+    read = cut(_anchor_rows(rows, min(lengths), gram, least if passage else None), "anchors")
+    found, inner = read.where("h is not null").drop("end", "kind"), read.where("h is null").select("__k1", "__k2", "kind", F.col("pos").alias("begin"), "end")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     per_text = found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
     extracts = cut(_neighbourhoods(rows.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found"), least, gram), "neighbourhoods")
     counted, occurrences = extracts.where("kind = 1"), extracts.where("kind = 0")
     hot = cut(counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h"), "hot")
     if hot.isEmpty():
-        reach = _parts(counted, least, parts)
+        reach = _parts(counted, lengths, parts)
     else:
-        reach = _parts(counted.join(hot, "h", "left_anti"), least, parts).unionByName(_hot_parts(counted.join(hot, "h", "left_semi"), least))
-    spans = occurrences.select("c1", "c2", "__k1", "__k2", "pos").join(reach, ["c1", "c2"]).select("__k1", "__k2", (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end")).unionByName(inner)
-    return rows, spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+        reach = _parts(counted.join(hot, "h", "left_anti"), lengths, parts)
+        for kind, length in enumerate(lengths):
+            reach = reach.unionByName(_hot_parts(counted.join(hot, "h", "left_semi"), length, gram, kind))
+    spans = occurrences.select("c1", "c2", "__k1", "__k2", "pos").join(reach, ["c1", "c2"]).select("__k1", "__k2", F.col("kind").cast("int"), (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end"))
+    spans = spans.unionByName(inner)
+    return rows, spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("kind", "begin", "end")).alias("spans"))
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans: list[dict] | None, kind: int = 0) -> list[tuple[int, int]]:
+    """The spans of one kind as runs that neither touch nor overlap."""
     out: list[list[int]] = []
-    for begin, end in sorted((s["begin"], s["end"]) for s in spans or []):
+    for begin, end in sorted((s["begin"], s["end"]) for s in spans or [] if s["kind"] == kind):
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -356,11 +388,17 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    rows, spans = repeated_spans(docs, key, text, least, gram, split)
+def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> DataFrame:
+    """key, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs.
+
+    With ``passage``, also n_passages and n_passage_bytes: runs, covered by strings of so many bytes that also start anywhere
+    else, of more than PASSAGE_WORDS words. They are counted, not removed.
+    """
+    rows, spans = repeated_spans(docs, key, text, least, gram, split, passage)
     joined = rows.join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
-    schema = f"`{key}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "n_passage_bytes"] if passage else [])]
+    kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
+    schema = ", ".join(f"`{n}` {'string' if k == pa.string() else 'bigint'}" for n, k in zip(names, kinds))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text"):
@@ -372,8 +410,12 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                     kept.append(raw[at:begin])
                     at = end
                 kept.append(raw[at:])
-                out.append((None if k == -(2**63) else k, len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), [pa.int64()] * 4 + [pa.string()])], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                row = (None if k == -(2**63) else k, len(raw), sum(e - b for b, e in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest())
+                if passage:
+                    long = [(b, e) for b, e in merged(found, 1) if len(raw[b:e].split()) > PASSAGE_WORDS]
+                    row += (len(long), sum(e - b for b, e in long))
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
 
     return joined.mapInArrow(digest, schema)
 
@@ -420,4 +462,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return repeat_digests(table(spark, sf_dir, "documents"))
+    return repeat_digests(table(spark, sf_dir, "documents"), passage=PASSAGE)

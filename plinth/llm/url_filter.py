@@ -11,6 +11,10 @@ over all URLs of an Arrow batch at once; a URL leaves the batch as soon as no gl
 after its host, so that very long URLs cost nothing more.
 
 Nulls and URLs without "://": host and path are empty, no rule fits. Empty tables give empty results. Repeated rows stay.
+
+Null urls and urls without a scheme have an empty host and path and get the method's own verdict; rows repeat as often as they
+come; of equally long rules that fit the first one counts; an empty table gives an empty one. Urls of any length run through
+the automaton, megabytes of them at a time. Columns other than key and url are never read.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm._common import flat_bytes, table
+from plinth.llm._common import flat_bytes, sliced, small_batches, table
 
 
 class Rule(NamedTuple):
@@ -133,7 +137,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], key: str = "page_id", url:
         auto = compile_globs(globs)
         names = pa.array([rules[i].name for i in ranked] + [None], pa.string())
         verdicts = pa.array([rules[i].verdict for i in ranked] + [default], pa.string())
-        for batch in batches:
+        for batch in sliced(batches, "path"):
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             flat, at = flat_bytes(pa.array(["." + h + p for h, p in zip(hosts, paths)], pa.string()))
             state = run_automaton(auto, flat, at)
@@ -152,6 +156,7 @@ RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return filter_urls(table(spark, sf_dir, "pages"), RULES)
 
 

@@ -42,11 +42,33 @@ def test_digests(spark, odd, least, gram, split):
     assert got == brute(odd, least)
 
 
+@pytest.mark.parametrize("split", [50_000, 5])
+def test_digests_with_passages(spark, odd, split):
+    """Both lengths from one pass: what is removed as before, and the runs of the shorter length of over fifty words."""
+    df = spark.createDataFrame(odd, "doc_id long, text string")
+    got = [tuple(r) for r in sd.repeat_digests(df, split=split, passage=200).collect()]
+    assert sorted((r[:5] for r in got), key=repr) == brute(odd, 400)
+    raws = [(k, (t or "").encode()) for k, t in odd]
+    seen = collections.Counter(r[i : i + 200] for _, r in raws for i in range(len(r) - 199))
+    expected = []
+    for k, r in raws:
+        held = bytearray(len(r) + 1)
+        for i in range(len(r) - 199):
+            if seen[r[i : i + 200]] > 1:
+                held[i : i + 200] = b"\1" * 200
+        edges = [i for i in range(len(held)) if held[i] != (held[i - 1] if i else 0)]
+        long = [(b, e) for b, e in zip(edges[::2], edges[1::2]) if len(r[b:e].split()) > 50]
+        expected.append((k, len(r), len(long), sum(e - b for b, e in long)))
+    assert sorted(((r[0], r[1], r[5], r[6]) for r in got), key=repr) == sorted(expected, key=repr)
+    assert any(e[2] for e in expected)
+
+
 def test_segments_of_a_long_text(spark, odd, monkeypatch):
     monkeypatch.setattr(sd, "SEGMENT", 3000)
     long = [(1, "".join(t for _, t in odd[:20] if t)), (2, odd[5][1] or "x"), (3, "".join(t for _, t in odd[10:30] if t))]
     df = spark.createDataFrame(long, "doc_id long, text string")
     assert sorted(map(tuple, sd.repeat_digests(df).collect()), key=repr) == brute(long, 400)
+    assert sorted((tuple(r)[:5] for r in sd.repeat_digests(df, passage=200).collect()), key=repr) == brute(long, 400)
 
 
 def test_intervals_cover_the_common_prefix_tree():
