@@ -12,7 +12,7 @@ have equal digests. Long texts are one pass of array arithmetic. The edited text
 one in descending order of the key; rows with equal keys are ordered by a hash of the text, null keys come last; a single
 row is its own next one, an empty table gives an empty one. Columns other than key and text are never read.
 
-Rows are dealt out by ranges of (key, text hash) that a bounded random sample of rows sets, so the texts of one hot key
+Rows are dealt out by ranges of (key, text hash) that a random sample of SAMPLE rows a range sets, so the texts of one hot key
 spread over many ranges; each range ends with a copy of the first row of the next, one row a range.
 """
 
@@ -104,7 +104,8 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(key).cast("long").alias("__key"), text_or_empty(text).alias("__text"))
     # the place: keys in descending order, null last
     rows = rows.withColumns({"__at": F.bitwise_not(F.coalesce("__key", F.lit(LAST))), "__hash": F.xxhash64("__text")})
-    sample = rows.select("__at", "__hash").orderBy(F.rand(11)).limit(SAMPLE * parts).collect() if parts > 1 else []
+    share = min(1.0, SAMPLE * parts / max(1, docs.count()))
+    sample = rows.select("__at", "__hash").sample(share, 11).collect() if parts > 1 else []
     drawn = sorted((r["__at"], r["__hash"]) for r in sample)
     rows = rows.withColumn("__bucket", _place(sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else [])("__at", "__hash"))
     # the first row of each range, again at the end of the range before: as many rows as ranges, known by place and hash
