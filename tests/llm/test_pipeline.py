@@ -26,3 +26,21 @@ def test_empty_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_odd_rows_and_empty_tables(spark, sf, docs, tmp_path):
+    """Clashing columns, nulls, white space of all kinds, no labels and no items: nothing fails, and nothing goes without a reason."""
+    from pyspark.sql import functions as F
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
+    odd = spark.createDataFrame([(96001, "a\tb\n"), (96002, "un deux\n\ntrois"), (96003, "\x1c\x85 　"), (96004, "日本語" * 50)], "doc_id long, text string")
+    for c in docs.columns[2:-1]:
+        odd = odd.withColumn(c, F.lit("clash"))
+    every = docs.unionByName(odd.withColumn("n_chars", F.length("text").cast("long")))
+    n = every.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, every, str(tmp_path))
+        assert after.columns == every.columns
+        assert after.count() == n if name != "MinHash near-dedup" else 0 < after.count() < n
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, every, str(tmp_path)).select("doc_id").collect()} == {r.doc_id for r in every.select("doc_id").collect()}
