@@ -32,11 +32,12 @@ Rows with equal keys and texts are copies of one another. Overlapping occurrence
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,8 @@ from plinth.llm._common import cut, flat_bytes, fresh, sliced, small_batches, ta
 LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 2 << 20
 #: Passages that repeat are reported from so many bytes and, further, words on.
 PASSAGE, PASSAGE_WORDS = 200, 50
+#: Bits of the bitmap of texts that may have repeats: 2 MB.
+MARKS = 1 << 24
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -155,6 +158,38 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k1"), F.xxhash64(whole).alias("__k2"), whole.alias("__text"))
 
 
+def _among(some: DataFrame) -> Callable[[str, str], Column]:
+    """A test of (key, text hash) columns that is true for all pairs of ``some`` and for few others: a bitmap of MARKS bits.
+
+    The bitmap has the same size for every corpus; it only keeps texts without repeats from moving, what it lets through by
+    chance finds no partner in the join.
+    """
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy()] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(np.packbits(bits).tobytes())], pa.binary())], names=["bits"])
+
+    slot = lambda k1, k2: F.pmod(F.xxhash64(k1, k2), F.lit(MARKS))
+    whole = np.zeros(MARKS // 8, np.uint8)
+    for r in some.select(slot("__k1", "__k2").alias("s")).mapInArrow(marked, "bits binary").toLocalIterator():
+        import zstandard
+
+        whole |= np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
+    held = some.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def among(s: pd.Series) -> pd.Series:
+        at = s.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return lambda k1, k2: among(slot(k1, k2))
+
+
 def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = None) -> DataFrame:
     """Anchors (h), and the spans that are repeated within their own run (kind 0 of the longer strings, or of the only ones; 1 of the shorter)."""
 
@@ -354,16 +389,17 @@ def _hot_parts(counted: DataFrame, least: int, gram: int, kind: int) -> DataFram
     return rows.join(again, ["w1", "w2"], "left_semi").groupBy(F.lit(kind).cast("long").alias("kind"), "c1", "c2").agg(F.max("left").cast("long").alias("l"), (F.lit(least) - F.min("left")).cast("long").alias("r"))
 
 
-def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for."""
+def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> tuple[DataFrame, DataFrame, Callable[[str, str], Column]]:
+    """docs by __k1, __k2, the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats, and a test that is true for all these texts and few others. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lengths = (least,) if passage is None else (least, passage)
     rows = _keyed(docs, key, text)
     read = cut(_anchor_rows(rows, min(lengths), gram, least if passage else None), "anchors")
     found, inner = read.where("h is not null").drop("end", "kind"), read.where("h is null").select("__k1", "__k2", "kind", F.col("pos").alias("begin"), "end")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    per_text = found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
-    extracts = cut(_neighbourhoods(rows.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found"), least, gram), "neighbourhoods")
+    per_text = cut(found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found")), "found")
+    among = _among(per_text.select("__k1", "__k2").unionByName(inner.select("__k1", "__k2").distinct()))
+    extracts = cut(_neighbourhoods(rows.where(among("__k1", "__k2")).join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found"), least, gram), "neighbourhoods")
     counted, occurrences = extracts.where("kind = 1"), extracts.where("kind = 0")
     hot = cut(counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h"), "hot")
     if hot.isEmpty():
@@ -374,7 +410,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gra
             reach = reach.unionByName(_hot_parts(counted.join(hot, "h", "left_semi"), length, gram, kind))
     spans = occurrences.select("c1", "c2", "__k1", "__k2", "pos").join(reach, ["c1", "c2"]).select("__k1", "__k2", F.col("kind").cast("int"), (F.col("pos") - F.col("l")).alias("begin"), (F.col("pos") + F.col("r")).alias("end"))
     spans = spans.unionByName(inner)
-    return rows, spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("kind", "begin", "end")).alias("spans"))
+    return rows, spans.groupBy("__k1", "__k2").agg(F.collect_set(F.struct("kind", "begin", "end")).alias("spans")), among
 
 
 def merged(spans: list[dict] | None, kind: int = 0) -> list[tuple[int, int]]:
@@ -394,8 +430,11 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     With ``passage``, also n_passages and n_passage_bytes: runs, covered by strings of so many bytes that also start anywhere
     else, of more than PASSAGE_WORDS words. They are counted, not removed.
     """
-    rows, spans = repeated_spans(docs, key, text, least, gram, split, passage)
-    joined = rows.join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
+    rows, spans, among = repeated_spans(docs, key, text, least, gram, split, passage)
+    # texts without repeats stay where they are
+    rows = rows.withColumn("__in", among("__k1", "__k2"))
+    moved = rows.where("__in").join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
+    joined = moved.unionByName(rows.where("NOT __in").select("__k1", "__text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "n_passage_bytes"] if passage else [])]
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
     schema = ", ".join(f"`{n}` {'string' if k == pa.string() else 'bigint'}" for n, k in zip(names, kinds))
@@ -422,11 +461,16 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """All rows and columns of docs, the text without its repeats (whole characters only) and n_chars, if it is there, to match."""
-    _, spans = repeated_spans(docs, key, text, least, gram, split)
+    _, spans, among = repeated_spans(docs, key, text, least, gram, split)
     whole = text_or_empty(text)
     k1, k2, held = fresh(docs, "__k1", "__k2", "__spans")
     keyed = docs.withColumns({k1: F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), k2: F.xxhash64(whole)})
-    joined = keyed.join(spans.select(F.col("__k1").alias(k1), F.col("__k2").alias(k2), F.col("spans").alias(held)), [k1, k2], "left").select(*docs.columns, held)
+    found = spans.select(F.col("__k1").alias(k1), F.col("__k2").alias(k2), F.col("spans").alias(held))
+    # texts without repeats stay where they are
+    inside = fresh(docs, "__in")[0]
+    keyed = keyed.withColumn(inside, among(k1, k2))
+    joined = keyed.where(F.col(inside)).join(found, [k1, k2], "left").select(*docs.columns, held)
+    joined = joined.unionByName(keyed.where(~F.col(inside)).select(*docs.columns, F.lit(None).cast(found.schema[held].dataType).alias(held)))
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index(text)
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
