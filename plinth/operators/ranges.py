@@ -13,13 +13,24 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, hal
     return probes.join(other, [*keys, "__b"]).where(F.abs(F.col(time) - F.col(right_prefix + time)) <= half).drop("__b")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, begin: str, end: str, bucket: float, how: str = "inner") -> DataFrame:
-    """Points with the spans [begin, end] that hold them; a span is entered in every bucket that it touches, so buckets should be about as wide as spans."""
-    entered = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(begin) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long"))))
-    p = points.withColumn("__b", F.floor(F.col(time) / bucket).cast("long"))
-    on = [p[k] == entered[k] for k in keys] + [p["__b"] == entered["__b"], p[time] >= entered[begin], p[time] <= entered[end]]
-    out = p.join(entered, on, how)
-    return out.select(*(p[c] for c in points.columns), *(entered[c] for c in spans.columns if c not in keys))
+def interval_join(points: DataFrame, spans: DataFrame, keys: list[str], time: str, begin: str, end: str, bucket: float) -> DataFrame:
+    """Points with the spans [begin, end] that hold them.
+
+    A span is entered in the buckets that it touches on a level where these are few: level l has buckets of bucket * 4^l, and
+    a span lies on the first level whose buckets are a quarter of its length or wider, so that it touches six at most, however
+    long. Points probe every level that spans have.
+    """
+    length = F.greatest((F.col(end) - F.col(begin)) / (4 * bucket), F.lit(1.0))
+    level = F.ceil(F.log(4.0, length) - 1e-9).cast("int")
+    leveled = spans.withColumn("__l", level)
+    highest = leveled.agg(F.max("__l").alias("m")).first()["m"] or 0
+    wide = F.lit(float(bucket)) * F.pow(F.lit(4.0), F.col("__l"))
+    place = lambda t: F.floor(F.col(t) / wide).cast("long")
+    entered = leveled.withColumn("__b", F.explode(F.sequence(place(begin), place(end))))
+    p = points.withColumn("__l", F.explode(F.sequence(F.lit(0), F.lit(int(highest))))).withColumn("__b", place(time))
+    inside = [p[k] == entered[k] for k in keys] + [p["__l"] == entered["__l"], p["__b"] == entered["__b"], p[time] >= entered[begin], p[time] <= entered[end]]
+    payload = [c for c in spans.columns if c not in keys]
+    return p.join(entered, inside).select(*(p[c] for c in points.columns), *(entered[c] for c in payload))
 
 
 def merge_intervals(spans: DataFrame, keys: list[str], begin: str, end: str, reach: float = 0.0) -> DataFrame:

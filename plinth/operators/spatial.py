@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,17 +34,32 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_id:
 def knn_vote(queries: DataFrame, bank: DataFrame, query_id: str, bank_id: str, features: list[str], label: str, k: int, most_bank: int = 100_000) -> DataFrame:
     """Share of label 1 among the k nearest of a bounded training bank; distances are Euclidean, ties go to the lesser id.
 
-    The bank is a model: it is broadcast, after its size is checked. Each executor keeps k rows per query only.
+    The bank is a model: its size is checked, then it goes to the executors once; queries meet it in blocks of 64, of which
+    only k rows each are ordered.
     """
-    if bank.limit(most_bank + 1).count() > most_bank:
+    rows = bank.select(bank_id, label, *features).limit(most_bank + 1).collect()
+    if len(rows) > most_bank:
         raise ValueError(f"the training bank has more than {most_bank} rows; sample it or use an index")
-    b = bank.select(F.col(bank_id).alias("__i"), F.col(label).alias("__l"), *(F.col(f).alias(f"__{f}") for f in features))
-    whole = b.agg(F.collect_list(F.struct("__i", "__l", *(f"__{f}" for f in features))).alias("__bank"))
-    near = queries.join(F.broadcast(whole)).select(
-        query_id,
-        F.slice(F.array_sort(F.transform("__bank", lambda r: F.struct(sum((F.col(f) - r[f"__{f}"]) ** 2 for f in features).alias("d"), r["__i"].alias("i"), r["__l"].alias("l")))), 1, k).alias("__n"),
-    )
-    return near.select(query_id, F.aggregate("__n", F.lit(0.0), lambda a, r: a + r["l"], lambda a: a / F.size("__n")).alias("score"))
+    rows.sort(key=lambda r: r[bank_id])
+    held = queries.sparkSession.sparkContext.broadcast((np.array([float(r[label]) for r in rows]), np.array([[float(r[f]) for f in features] for r in rows]).reshape(len(rows), len(features))))
+    kind = dict(queries.dtypes)[query_id]
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, places = held.value
+        for batch in batches:
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False).astype(float) for i in range(len(features))], axis=1)
+            scores = np.full(len(x), np.nan)
+            for first in range(0, len(x), 64) if len(labels) else ():
+                d = np.zeros((len(x[first : first + 64]), len(labels)))
+                for i in range(len(features)):
+                    d += (x[first : first + 64, i, None] - places[None, :, i]) ** 2
+                edge = np.partition(d, min(k, len(labels)) - 1, axis=1)[:, min(k, len(labels)) - 1]
+                for row in range(len(d)):
+                    near = np.flatnonzero(d[row] <= edge[row])  # in order of ids
+                    scores[first + row] = labels[near[np.argsort(d[row][near], kind="stable")][:k]].mean()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, mask=np.isnan(scores))], names=[query_id, "score"])
+
+    return queries.select(query_id, *(F.col(f).cast("double") for f in features)).mapInArrow(vote, f"`{query_id}` {kind}, score double")
 
 
 #: A Gaussian is below the last bit of a double, relative to its peak, at so many standard deviations.

@@ -299,3 +299,25 @@ def test_empty_cells(spark):
     assert raster.nearest_filled(none, none, ["frame"], "v", 3).count() == 0
     assert signal.filled_holes(none, ["frame"], "v", 1, 3).count() == 0
     assert graph.frame_growth(none.withColumn("seed", F.lit(True)), "frame", "v", 1.0, 1.0).count() == 0
+
+
+def test_long_spans_stay_few(spark):
+    from plinth.operators import ranges
+
+    rng = np.random.default_rng(9)
+    spans = [(int(rng.integers(0, 2)), float(b), float(b + w)) for b, w in zip(rng.random(60) * 1000, 10 ** (rng.random(60) * 9 - 2))] + [(0, -1e9, 1e9), (1, 5.0, 5.0)]
+    points = [(int(rng.integers(0, 2)), float(t)) for t in rng.random(300) * 1200] + [(1, 5.0)]
+    got = ranges.interval_join(spark.createDataFrame(points, "k long, t double"), spark.createDataFrame(spans, "k long, b double, e double"), ["k"], "t", "b", "e", 1.0)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, t, b, e) for k, t in points for j, b, e in spans if j == k and b <= t <= e)
+    none = spark.createDataFrame([], "k long, b double, e double")
+    assert ranges.interval_join(spark.createDataFrame(points, "k long, t double"), none, ["k"], "t", "b", "e", 1.0).count() == 0
+
+
+def test_votes_of_tied_neighbours(spark):
+    bank = spark.createDataFrame([(5, 1.0, 0.0, 1), (2, 0.0, 1.0, 0), (9, -1.0, 0.0, 1), (1, 3.0, 3.0, 1)], "id long, x double, y double, l int")
+    one = spark.createDataFrame([(7, 0.0, 0.0)], "q long, x double, y double")
+    assert [tuple(r) for r in spatial.knn_vote(one, bank, "q", "id", ["x", "y"], "l", 2).collect()] == [(7, 0.5)]
+    assert [tuple(r) for r in spatial.knn_vote(one, bank, "q", "id", ["x", "y"], "l", 9).collect()] == [(7, 0.75)]
+    assert [tuple(r) for r in spatial.knn_vote(one, bank.where("false"), "q", "id", ["x", "y"], "l", 2).collect()] == [(7, None)]
+    with pytest.raises(ValueError):
+        spatial.knn_vote(one, bank, "q", "id", ["x", "y"], "l", 2, most_bank=3)
