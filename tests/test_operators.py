@@ -3,6 +3,7 @@
 import json
 import math
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -161,6 +162,36 @@ def test_greedy_order(spark):
     assert [(r.frame, r.other) for r in pairs] == [(2, 3)]
 
 
+def test_association_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    # halves make ties; copies share a place; two clouds and a class without partners
+    place = lambda i: (float(rng.integers(0, 12)) / 2 + 100 * (i % 2), float(rng.integers(0, 12)) / 2)
+    left = [("ab"[i % 3 == 0], i, *place(i)) for i in range(150)] + [("c", 900, 0.0, 0.0), ("a", 901, float("nan"), 0.0)]
+    right = [("ab"[i % 3 == 0], i, *place(i)) for i in range(200, 330)] + [("a", 400, 1.0, 1.0), ("a", 401, 1.0, 1.0)]
+    pairs = sorted((np.hypot(a[2] - b[2], a[3] - b[3]), a[1], b[1]) for a in left for b in right if a[0] == b[0] and np.hypot(a[2] - b[2], a[3] - b[3]) <= 1.5)
+    used, expected = set(), set()
+    for d, i, j in pairs:
+        if not {i, j} & used:
+            used |= {i, j}
+            expected.add((i, j, d))
+    a, b = spark.createDataFrame(left, "cls string, frame long, mx double, my double"), spark.createDataFrame(right, "cls string, other long, mx double, my double")
+    assert {(r.frame, r.other, r.distance) for r in greedy.associate(a, b, "cls", "frame", "other", 1.5).collect()} == expected
+    assert greedy.associate(a.where("false"), b, "cls", "frame", "other", 1.5).count() == 0
+
+
+def test_association_takes_memory_by_components_not_by_pairs():
+    n = 3000
+    x, y = (np.random.default_rng(k).normal(0, 1e-9, 2 * n) for k in (1, 2))
+    d = lambda i, j: np.hypot(x[i] - x[n + j], y[i] - y[n + j])
+    tracemalloc.start()
+    found = greedy.one_to_one(x[:n], y[:n], np.arange(n), greedy.Untaken(x[n:], y[n:], np.arange(n), 2.0, d))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(i for i, *_ in found) == sorted(j for _, j, _ in found) == list(range(n))
+    # a matrix of all pairs takes 72 MB
+    assert peak < 12e6
+
+
 def test_horizon_and_wheel_states():
     h = stateful.Horizon(3, 1.0)
     assert [h.step(t, t, 1)[0] for t in (0.0, 0.5, 0.9, 1.2)] == [1, 2, 3, 3]
