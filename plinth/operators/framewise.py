@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plinth.operators import graph
+from plinth.operators import graph, greedy
 from plinth.operators.spatial import radius_pairs
 
 
@@ -188,34 +188,28 @@ def clearance(signs: DataFrame, ground: DataFrame, keys: list[str], sign: str, r
 def gated_association(left: DataFrame, right: DataFrame, cls: str, reach: float, most_mahalanobis: float, most_shape: float, floor: float) -> DataFrame:
     """One-to-one pairs (id, other, score) of components (cls, id, mx, my, sxx, sxy, syy) within distance, Mahalanobis and shape gates, the best scores first, ties by the ids.
 
-    Greedy picks of different connected parts of the candidate pairs don't touch each other: parts are dealt out by
-    themselves, so no class is gathered.
+    No pair is listed before it is picked: partners are looked for one by one, by ``greedy.associated``.
     """
     shape = ["sxx", "sxy", "syy"]
-    a = left.select(cls, "id", F.col("mx").alias("x"), F.col("my").alias("y"), *shape)
-    b = right.select(cls, F.col("id").alias("id"), F.col("mx").alias("x"), F.col("my").alias("y"), *shape)
-    p = radius_pairs(a, b, [cls], reach)
-    dx, dy = F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y")
-    xx, xy, yy = (F.col(s) + F.col(f"r_{s}") for s in shape)
-    det = xx * yy - xy * xy
-    m2 = (yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det
-    own = lambda pre: (F.col(f"{pre}sxx") + floor) * (F.col(f"{pre}syy") + floor) - F.col(f"{pre}sxy") ** 2
-    mixed = ((xx + 2 * floor) * (yy + 2 * floor) - xy * xy) / 4
-    unlike = F.greatest(0.5 * (F.ln(mixed) - 0.5 * (F.ln(own("")) + F.ln(own("r_")))), F.lit(0.0))
-    pairs = p.select(cls, "id", F.col("r_id").alias("other"), (F.sqrt("d2") + 4 * unlike).alias("score"), F.sqrt(m2).alias("__m"), unlike.alias("__u"))
-    pairs = graph.cut(pairs.where((F.col("__m") <= most_mahalanobis) & (F.col("__u") <= most_shape)).select(cls, "id", "other", "score"), "candidates")
-    # both sides' ids as one graph: even and odd numbers
-    edges = pairs.select((2 * F.col("id")).alias("a"), (2 * F.col("other") + 1).alias("b"))
-    parts = graph.components(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges)
-    split = pairs.join(parts.select((F.col("id") / 2).cast("long").alias("id"), F.col("label").alias("part"), (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), "id")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, out = set(), set(), []
-        for r in g.sort_values(["score", "id", "other"]).itertuples(index=False):
-            if r.id not in used_a and r.other not in used_b:
-                used_a.add(r.id)
-                used_b.add(r.other)
-                out.append((r.id, r.other, r.score))
-        return pd.DataFrame(out, columns=["id", "other", "score"])
-
-    return split.select("part", "id", "other", "score").groupBy("part").applyInPandas(run, "id long, other long, score double")
+    side = lambda df: df.where(F.col(cls).isNotNull()).select(cls, "id", F.col("mx").alias("x"), F.col("my").alias("y"), *shape)
+
+    def scored(a: pd.DataFrame, b: pd.DataFrame):
+        ax, ay, axx, axy, ayy = (a[c].to_numpy() for c in ("x", "y", *shape))
+        bx, by, bxx, bxy, byy = (b[c].to_numpy() for c in ("x", "y", *shape))
+        own = [(xx + floor) * (yy + floor) - xy**2 for xx, xy, yy in ((axx, axy, ayy), (bxx, bxy, byy))]
+
+        def score(i: int, j: np.ndarray) -> np.ndarray:
+            dx, dy = ax[i] - bx[j], ay[i] - by[j]
+            d2 = dx**2 + dy**2
+            xx, xy, yy = axx[i] + bxx[j], axy[i] + bxy[j], ayy[i] + byy[j]
+            with np.errstate(all="ignore"):
+                m = np.sqrt((yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / (xx * yy - xy * xy))
+                mixed = ((xx + 2 * floor) * (yy + 2 * floor) - xy * xy) / 4
+                unlike = 0.5 * (np.log(mixed) - 0.5 * (np.log(own[0][i]) + np.log(own[1][j])))
+            # shapes without a determinant above 0 can't be told apart
+            unlike = np.where((mixed > 0) & (own[0][i] > 0) & (own[1][j] > 0), np.maximum(unlike, 0.0), 0.0)
+            return np.where((d2 <= reach * reach) & (m <= most_mahalanobis) & (unlike <= most_shape), np.sqrt(d2) + 4 * unlike, np.inf)
+
+        return score
+
+    return greedy.associated(side(left), side(right), cls, reach, scored).select(F.col("a").alias("id"), F.col("b").alias("other"), "score")

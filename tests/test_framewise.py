@@ -230,6 +230,17 @@ def test_gated_association_is_greedy(spark):
     assert got == expected
 
 
+def test_gated_association_writes_no_pairs(spark, monkeypatch):
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(real(df, name)) or written[-1])
+    near = spark.range(600).selectExpr("'a' AS cls", "id", "id * 1e-6D AS mx", "0D AS my", "0.5D AS sxx", "0.1D AS sxy", "0.4D AS syy")
+    got = framewise.gated_association(near.where("id < 300"), near.where("id >= 300"), "cls", 1.0, 3.0, 0.5, 0.01)
+    assert {(r.id, r.other) for r in got.collect()} == {(k, 599 - k) for k in range(300)}
+    # 90,000 pairs are within the gates
+    assert written and max(df.count() for df in written) <= 600
+
+
 def test_digest_of_doubles(spark):
     from plinth.functions.packed import doubles_sha256
 
