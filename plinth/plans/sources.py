@@ -100,10 +100,11 @@ def text_fields(spark, sf):
 
 @query("json_list_scan", "SELECT c_custkey AS utime, c_acctbal AS linear FROM customer")
 def json_list_scan(spark, sf):
-    """Files of one JSON list each."""
+    """Files of one JSON list each, of at most 10,000 records where keys are spread; a dealt-out partition may hold several lists, so each row is told to be its own file."""
     path = folder(spark)
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("utime"), F.col("c_acctbal").alias("linear"), (F.col("c_custkey") % 7).alias("part"))
-    rows.groupBy("part").agg(F.to_json(F.collect_list(F.struct("utime", "linear"))).alias("value")).select("value").repartition(7).write.text(path)
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(key.alias("utime"), F.col("c_acctbal").alias("linear"), (key % 7).alias("part"), F.floor(key / 70_000).alias("block"))
+    rows.groupBy("part", "block").agg(F.to_json(F.collect_list(F.struct("utime", "linear"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return frames.read_json_lists(spark, path, "utime bigint, linear double")
 
 

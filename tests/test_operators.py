@@ -162,6 +162,22 @@ def test_greedy_order(spark):
     assert [(r.frame, r.other) for r in pairs] == [(2, 3)]
 
 
+def test_json_lists_that_share_a_partition_are_all_read(spark, tmp_path):
+    from plinth.plans import catalog
+
+    spark.range(140_000).selectExpr("id AS c_custkey", "id / 8D AS c_acctbal").repartition(8).write.parquet(f"{tmp_path}/customer.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for parts in ("1", "24"):
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = catalog.QUERIES["json_list_scan"](spark, str(tmp_path))
+            assert tuple(got.selectExpr("count(*)", "count(DISTINCT utime)", "sum(linear)").first()) == (140_000, 140_000, sum(range(140_000)) / 8)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_association_against_all_pairs(spark):
     rng = np.random.default_rng(11)
     # halves make ties; copies share a place; two clouds and a class without partners
