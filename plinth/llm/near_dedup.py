@@ -12,7 +12,8 @@ and each is paired with the two that agree best of every cluster that the bucket
 each. These picks may fail while another member would pass. So a bucket that still holds several clusters of verified links
 is looked through: the nodes of each are held against those of the others, best agreement first, until a pair is similar,
 which joins the two clusters, or none is left. Copies are one cluster by then and aren't held against each other. Buckets of
-more than ``most_bucket`` nodes are taken apart by the nodes' other bands first (a similar pair shares six more on average).
+more than ``most_bucket`` nodes get their first picks among nodes that share another band too (a similar pair shares six more
+on average); they are looked through whole, in blocks, each against each, so pairs that share one band alone are met as well.
 A pair is verified by the exact weighted Jaccard similarity of its texts, if its samples agree often enough that it may reach
 the threshold at all (four standard deviations below it). Classes are the connected components of the verified links.
 
@@ -306,27 +307,35 @@ def _first_picks(left: DataFrame, nodes: DataFrame, least: int, most: int, parts
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def open_pairs(codes: np.ndarray, label: np.ndarray, least: int, band: int, rows_: int) -> Iterator[tuple[int, np.ndarray]]:
+def open_pairs(codes: np.ndarray, label: np.ndarray, least: int, band: int, rows_: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Each member of a bucket with the members before it that it has still to be held against, best first.
 
     These are of other clusters (``label``), agree on ``least`` samples or more and share no band before the bucket's: there
     the pair is met already. Labels may change between the steps. Members of the largest cluster come first and are passed over.
+    Where there are two sides, members of one aren't held against each other.
     """
     n, before = len(codes), band * rows_
-    kinds, size = np.unique(label, return_counts=True)
-    order = np.argsort(label != kinds[size.argmax()], kind="stable")
+    if side is None or (side == side[0]).all():
+        kinds, size = np.unique(label, return_counts=True)
+        order = np.argsort(label != kinds[size.argmax()], kind="stable")
+        first, whole = int(size.max()), True
+    else:
+        # the larger side comes first
+        order = np.argsort(side != (2 * side.sum() > n), kind="stable")
+        first, whole = int(max(side.sum(), n - side.sum())), False
     codes = codes[order]
-    for x in range(int(size.max()), n):
+    for x in range(first, n):
         i = int(order[x])
-        same = codes[:x] == codes[x]
-        near = np.flatnonzero((same.sum(axis=1) >= least) & (label[order[:x]] != label[i]))
+        to = x if whole else first
+        same = codes[:to] == codes[x]
+        near = np.flatnonzero((same.sum(axis=1) >= least) & (label[order[:to]] != label[i]))
         if before and len(near):
             near = near[~same[near, :before].reshape(len(near), band, rows_).all(axis=2).any(axis=1)]
         if len(near):
             yield i, order[near[np.argsort(-same[near].sum(axis=1), kind="stable")]]
 
 
-def bucket_links(raws: list[bytes], codes: np.ndarray, label: np.ndarray, least: int, band: int, rows_: int, table_: np.ndarray, words: int, threshold: float) -> list[tuple[int, int, float]]:
+def bucket_links(raws: list[bytes], codes: np.ndarray, label: np.ndarray, least: int, band: int, rows_: int, table_: np.ndarray, words: int, threshold: float, side: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Members of a bucket that are similar, and how much: clusters grow by verified pairs only, and two clusters are held apart only when all their open pairs have failed."""
     label, out = label.copy(), []
     vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -342,7 +351,7 @@ def bucket_links(raws: list[bytes], codes: np.ndarray, label: np.ndarray, least:
             held += len(vectors[k][0])
         return vectors[k]
 
-    for i, near in open_pairs(codes, label, least, band, rows_):
+    for i, near in open_pairs(codes, label, least, band, rows_, side):
         mine = vector(i)
         at, step = 0, 4
         while at < len(near):
@@ -378,21 +387,34 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield current, some
 
 
-def _columns(some: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text ids, labels (0, 1, ...) and codes of a bucket's rows (g, band, t, root, codes, ...)."""
-    t, root = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in some]) for i in (2, 3))
-    codes = np.concatenate([b.column(4).flatten().to_numpy(zero_copy_only=False) for b in some])
-    return t, np.unique(root, return_inverse=True)[1], codes.reshape(len(t), -1)
+def _columns(some: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text ids, labels (0, 1, ...), sides and codes of a group's rows (g, band, t, root, side, codes, ...)."""
+    t, root, side = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in some]) for i in (2, 3, 4))
+    codes = np.concatenate([b.column(5).flatten().to_numpy(zero_copy_only=False) for b in some])
+    return t, np.unique(root, return_inverse=True)[1], side, codes.reshape(len(t), -1)
 
 
 def _bucket_rows(left: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
-    """g, band, t, root, codes of the buckets (band, bucket, t, root) that hold several clusters. Buckets of more than ``most`` nodes are taken apart by the nodes' other bands first."""
-    sizes = left.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    keyed = left.join(sizes.where("low < high").drop("low", "high"), ["band", "bucket"]).withColumn("g", F.xxhash64("band", "bucket"))
-    small, large = keyed.where(F.col("n") <= most).select("g", "band", "t", "root"), keyed.where(F.col("n") > most)
-    apart = large.join(nodes.select("t", "bands"), "t").select("g", "band", "t", "root", F.posexplode("bands").alias("band2", "bucket2")).where("band2 <> band")
-    groups = small.unionByName(apart.select(F.xxhash64("g", "band2", "bucket2").alias("g"), "band", "t", "root"))
-    return groups.join(nodes.select("t", "codes"), "t").select("g", "band", "t", "root", "codes")
+    """g, band, t, root, side, codes of the buckets (band, bucket, t, root) that hold several clusters, each in groups that meet all pairs of different clusters.
+
+    A bucket of ``most`` nodes or fewer is one group. Of a larger one the nodes of its largest cluster (which aren't held
+    against each other) and all others are dealt into blocks of half as many: each block of the others is a group by itself,
+    and with each other block, of either kind, a group of two sides. So no pair is left out, and a group holds about ``most``
+    nodes. A bucket of n nodes, m of them outside its largest cluster, takes n * m comparisons, as a whole bucket would.
+    """
+    clusters = left.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    sizes = clusters.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("clusters"))
+    keyed = left.join(sizes.where("clusters > 1").drop("clusters"), ["band", "bucket"]).withColumn("g", F.xxhash64("band", "bucket"))
+    small, large = keyed.where(F.col("n") <= most), keyed.where(F.col("n") > most)
+    half = max(1, most // 2)
+    blocks = large.withColumns({"tops": F.ceil(F.col("top.n") / half).cast("int"), "rests": F.ceil((F.col("n") - F.col("top.n")) / half).cast("int"), "is_top": F.col("root") == F.col("top.root")})
+    blocks = blocks.withColumn("k", F.pmod(F.xxhash64("t"), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("rests"))).cast("int"))
+    with_tops = "transform(sequence(0, tops - 1), j -> struct(0 AS kind, k AS p, j AS q, 0 AS side))"
+    with_rests = "transform(sequence(0, rests - 1), j -> struct(1 AS kind, least(k, j) AS p, greatest(k, j) AS q, int(k > j) AS side))"
+    of_top = "transform(sequence(0, rests - 1), j -> struct(0 AS kind, j AS p, k AS q, 1 AS side))"
+    met = blocks.select("g", "band", "t", "root", F.explode(F.expr(f"if(is_top, {of_top}, concat({with_tops}, {with_rests}))")).alias("at"))
+    groups = small.select("g", "band", "t", "root", F.lit(0).alias("side")).unionByName(met.select(F.xxhash64("g", "at.kind", "at.p", "at.q").alias("g"), "band", "t", "root", "at.side"))
+    return groups.join(nodes.select("t", "codes"), "t").select("g", "band", "t", "root", "side", "codes")
 
 
 def _bucket_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, weights, words: int, threshold: float, least: int, rows_: int, most: int, parts: int) -> DataFrame:
@@ -402,28 +424,28 @@ def _bucket_links(left: DataFrame, nodes: DataFrame, texts: DataFrame, weights,
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (g, band), some in _grouped(batches, 2):
-            t, label, codes = _columns(some)
+            t, label, side, codes = _columns(some)
             use = np.zeros(len(t), bool)
-            for i, near in open_pairs(codes, label, least, band, rows_):
+            for i, near in open_pairs(codes, label, least, band, rows_, side):
                 use[i] = True
                 use[near] = True
             if use.any():
                 yield pa.Table.from_batches(some).combine_chunks().to_batches()[0].take(pa.array(np.flatnonzero(use)))
 
-    schema = "g bigint, band int, t bigint, root bigint, codes array<int>"
+    schema = "g bigint, band int, t bigint, root bigint, side int, codes array<int>"
     wanted = cut(sorted_(rows).mapInArrow(look, schema), "open")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = weights.value
         for (g, band), some in _grouped(batches, 2):
-            t, label, codes = _columns(some)
-            raws = [w for b in some for w in b.column(5).to_pylist()]
-            found = bucket_links(raws, codes, label, least, band, rows_, table_, words, threshold)
+            t, label, side, codes = _columns(some)
+            raws = [w for b in some for w in b.column(6).to_pylist()]
+            found = bucket_links(raws, codes, label, least, band, rows_, table_, words, threshold, side)
             if found:
                 a, b, s = (np.array(c) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(t[a], t[b])), pa.array(np.maximum(t[a], t[b])), pa.array(s)], names=["a", "b", "similarity"])
 
-    whole = wanted.join(texts, "t").select("g", "band", "t", "root", "codes", "words")
+    whole = wanted.join(texts, "t").select("g", "band", "t", "root", "side", "codes", "words")
     return sorted_(whole).mapInArrow(verify, "a bigint, b bigint, similarity double")
 
 

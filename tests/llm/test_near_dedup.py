@@ -119,6 +119,31 @@ def test_large_buckets_are_taken_apart(spark, docs):
     assert whole == {(r.t, r.class_id) for r in nd.near_duplicates(docs, most_bucket=2).collect()}
 
 
+def test_large_bucket_meets_each_pair_of_clusters_once(spark):
+    root = [0] * 40 + [100 + i % 11 for i in range(23)]
+    left = spark.createDataFrame([(3, 7, t, r) for t, r in enumerate(root)] + [(4, 7, 0, 0), (4, 7, 50, 110), (5, 7, 0, 0), (5, 7, 1, 0)], "band int, bucket long, t long, root long")
+    nodes = spark.createDataFrame([(t, [t], [t] * 12) for t in range(len(root))], "t long, codes array<int>, bands array<long>")
+    groups = {}
+    for r in nd._bucket_rows(left, nodes, 10).collect():
+        groups.setdefault((r.band, r.g), []).append((r.t, r.root, r.side))
+    met = [(band, *sorted((a[0], b[0]))) for (band, _), g in groups.items() for i, a in enumerate(g) for b in g[:i] if a[1] != b[1] and (a[2] != b[2] or len({x[2] for x in g}) == 1)]
+    every = [(3, a, b) for b in range(len(root)) for a in range(b) if root[a] != root[b]]
+    assert sorted(met) == sorted([*every, (4, 0, 50)])
+
+
+def test_partners_that_share_only_the_band_of_a_large_bucket(spark):
+    raws = [nd.normal(t) for t in one_partner(0, 60, 62, 20)]
+    table_, n = np.ones(nd.DF_SLOTS), len(raws)
+    codes = [nd.samples(np.zeros(len(c), int), c, w, 36)[1][0].view(np.int32).tolist() for c, w in (nd._vector(r, table_, 5) for r in raws)]
+    # all share band 0 and no other
+    nodes = spark.createDataFrame([(t, codes[t], [1, *(100 * t + k for k in range(2, 13))]) for t in range(n)], "t long, codes array<int>, bands array<long>")
+    texts = spark.createDataFrame([(t, bytearray(r)) for t, r in enumerate(raws)], "t long, words binary")
+    weights = spark.sparkContext.broadcast(table_)
+    for most in (6, 20, 1000):
+        links = nd._links(nodes, lambda wanted: texts.join(wanted, "t", "left_semi"), weights, 5, nd.THRESHOLD, 3, 12, most)
+        assert {(r.a, r.b) for r in links.collect()} == {(0, n - 1), (n - 2, n - 1)}
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components(chain).collect()}
