@@ -23,7 +23,8 @@ by its 128-bit hash instead, which gives the same parts with sums that combine b
 
 Null and empty texts have no bytes and no spans; rows that repeat, keys included, hold each other's bytes and lose them all.
 Ties between equal grams are settled by place. Very long texts go in segments of SEGMENT bytes; an empty table gives an empty
-one. remove_repeats keeps all columns, whatever their names; repeat_digests reads key and text only.
+one. remove_repeats keeps all columns, whatever their names; repeat_digests reads key and text only. Anchors are looked for in
+SEGMENT bytes at a time, in arrays of eight bytes for each of them: about 200 bytes of a worker's memory for each byte.
 
 Matches never cross documents. Null texts are empty. Texts shorter than ``least`` keep all bytes, whatever their copies.
 Rows with equal keys and texts are copies of one another. Overlapping occurrences in one text count.
@@ -42,7 +43,7 @@ from pyspark.sql import types as T
 
 from plinth.llm._common import cut, flat_bytes, fresh, sliced, small_batches, table, text_or_empty
 
-LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 2 << 20
+LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 1 << 18
 #: Passages that repeat are reported from so many bytes and, further, words on.
 PASSAGE, PASSAGE_WORDS = 200, 50
 
@@ -53,7 +54,7 @@ _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 def _powers(n: int, base: np.uint64) -> np.ndarray:
     out = np.full(n + 1, base, np.uint64)
     out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.multiply.accumulate(out, out=out)
 
 
 def _sliding(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,9 +81,14 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
     n, width = len(flat), least - gram + 1
     if n < least:
         return none, none, [(none, none)] * (2 if longer else 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * _powers(n, _BASE)[:n], dtype=np.uint64)])
+    sums = np.zeros(n + 1, np.uint64)
+    sums[1:] = flat
+    sums[1:] += np.uint64(1)
+    sums[1:] *= _powers(n, _BASE)[:n]
+    np.add.accumulate(sums, out=sums)
     back = _powers(n, _BACK)
-    code = (sums[gram:] - sums[:-gram]) * back[: n - gram + 1]
+    code = sums[gram:] - sums[:-gram]
+    code *= back[: n - gram + 1]
     code ^= code >> np.uint64(31)
     code *= np.uint64(0x9FB21C651E98DF25)
     code ^= code >> np.uint64(28)
