@@ -16,7 +16,7 @@ suffix array, so its suffixes are thinned and dealt out without losing a match:
 4. The parts go back to every occurrence, and each text is put together again with its own.
 
 Anchors may be chosen for shorter repeats (``passage``) than those removed (``least``): the neighbourhoods still reach as far
-as a match of ``least`` bytes, so one pass over the intervals gives the parts of both lengths.
+as a match of ``least`` bytes around its middle window, so one pass over the intervals gives the parts of both lengths.
 
 A gram with more than ``split`` different neighbourhoods isn't gathered: each of its windows of ``least`` bytes is counted
 by its 128-bit hash instead, which gives the same parts with sums that combine before they move.
@@ -46,6 +46,8 @@ from plinth.llm._common import cut, flat_bytes, fresh, sliced, small_batches, ta
 LEAST, GRAM, SPLIT, SEGMENT = 400, 32, 50_000, 1 << 18
 #: Passages that repeat are reported from so many bytes and, further, words on.
 PASSAGE, PASSAGE_WORDS = 200, 50
+#: Bits of the map of texts that may have repeats, in words of 64: a broadcast of 2^18 rows at most.
+MARKS = 1 << 24
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _BACK = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -69,8 +71,8 @@ def _sliding(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int, longer: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Places of the anchors in flat and their hashes; begins and ends of the strings of ``least`` bytes that are repeated within their own run, and of those of ``longer`` bytes.
+def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int, gram: int, longer: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Places of the anchors in flat and their hashes; begins and ends of the strings of ``least`` bytes that are repeated within their own run, and of those of ``longer`` bytes; whether a segment has windows without an anchor of their own.
 
     Segments [start, end) follow one another and matches don't cross them. Of several least grams in a window the first is
     its anchor, or the last if the run of them may have begun before the window: so a run has one anchor at either end, not
@@ -79,8 +81,9 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
     """
     none = np.zeros(0, np.int64)
     n, width = len(flat), least - gram + 1
+    spared = np.zeros(len(starts), bool)
     if n < least:
-        return none, none, [(none, none)] * (2 if longer else 1)
+        return none, none, [(none, none)] * (2 if longer else 1), spared
     sums = np.zeros(n + 1, np.uint64)
     sums[1:] = flat
     sums[1:] += np.uint64(1)
@@ -142,9 +145,10 @@ def anchors(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, least: int,
             local[1] = np.unique(np.concatenate([i[far], i[far] + period[far]]))
         keep = np.ones(len(window), bool)
         keep[tied[held]] = False
+        spared[segment[held] - 1] = True
         pick = pick[keep]
     at = np.unique(pick)
-    return at, code[at].view(np.int64), [_covered(places, size) for places, size in zip(local, (least, longer))]
+    return at, code[at].view(np.int64), [_covered(places, size) for places, size in zip(local, (least, longer))], spared
 
 
 def _covered(places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +165,21 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("__k1"), F.xxhash64(whole).alias("__k2"), whole.alias("__text"))
 
 
+def _marks(some: DataFrame) -> DataFrame:
+    """word, bits: a map of MARKS bits, of the same size for every corpus, that has the bits of all (__k1, __k2) of ``some``."""
+    at = F.pmod(F.xxhash64("__k1", "__k2"), F.lit(MARKS))
+    return cut(some.select(at.alias("at")).selectExpr("at div 64 AS word", "shiftleft(1L, cast(at % 64 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """rows with __in: true where the map has the row's bit, for all that it was made of and few others; these find no partner later on."""
+    at = rows.withColumn("__at", F.pmod(F.xxhash64("__k1", "__k2"), F.lit(MARKS)))
+    held = at.join(F.broadcast(marks), F.expr("__at div 64 = word"), "left")
+    return held.withColumn("__in", F.expr("coalesce(getbit(bits, cast(__at % 64 AS int)), 0) = 1")).select(*rows.columns, "__in")
+
+
 def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = None) -> DataFrame:
-    """Anchors (h), and the spans that are repeated within their own run (kind 0 of the longer strings, or of the only ones; 1 of the shorter)."""
+    """Anchors (h; kind 1 where windows of the text have none of their own, else 0), and the spans that are repeated within their own run (kind 0 of the longer strings, or of the only ones; 1 of the shorter)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "__text", SEGMENT):
@@ -171,7 +188,7 @@ def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = No
                 last = min(len(flat), first + SEGMENT + (longer or least) - 1)
                 starts, ends = np.clip(at[:-1], first, last), np.clip(at[1:], first, last)
                 some = ends > starts
-                place, code, local = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram, longer)
+                place, code, local, spared = anchors(flat[first:last], starts[some] - first, ends[some] - first, least, gram, longer)
                 # anchors have a hash, runs a kind and an end
                 begins, finishes = (np.concatenate(x) for x in zip(*local))
                 kinds = np.repeat(np.arange(len(local))[::-1], [len(b) for b, _ in local])
@@ -180,7 +197,8 @@ def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = No
                 if len(place):
                     hashes = pa.concat_arrays([pa.array(code), pa.nulls(len(begins), pa.int64())])
                     stops = pa.concat_arrays([pa.nulls(len(code), pa.int64()), pa.array(finishes + first - at[doc[len(code) :]], pa.int64())])
-                    kind = pa.concat_arrays([pa.nulls(len(code), pa.int32()), pa.array(kinds, pa.int32())])
+                    runs = pa.array(spared[np.searchsorted(np.flatnonzero(some), doc[: len(code)])].astype(np.int32))
+                    kind = pa.concat_arrays([runs, pa.array(kinds, pa.int32())])
                     yield pa.RecordBatch.from_arrays([hashes, batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(place - at[doc]), stops, kind], names=["h", "__k1", "__k2", "pos", "end", "kind"])
                 if last == len(flat):
                     break
@@ -188,11 +206,16 @@ def _anchor_rows(rows: DataFrame, least: int, gram: int, longer: int | None = No
     return rows.mapInArrow(find, "h bigint, __k1 bigint, __k2 bigint, pos bigint, end bigint, kind int")
 
 
-def _neighbourhoods(rows: DataFrame, least: int, gram: int) -> DataFrame:
-    """rows: __k1, __k2, __text, found (array of h, pos). Occurrences (kind 0) and counted neighbourhoods (kind 1)."""
+def _neighbourhoods(rows: DataFrame, least: int, gram: int, passage: int | None = None) -> DataFrame:
+    """rows: __k1, __k2, __text, found (array of h, pos), spared. Occurrences (kind 0) and counted neighbourhoods (kind 1).
+
+    Where anchors are those of ``passage`` bytes, a string of ``least`` bytes has the one of its middle window, which is that
+    of all its copies: a neighbourhood reaches as far as such a string can. If that window has no anchor of its own, being in
+    a run that began a period before, this holds for all copies of the string, and their texts (spared) take the full reach.
+    """
     schema = "kind int, h bigint, c1 bigint, c2 bigint, __k1 bigint, __k2 bigint, pos bigint, left int, context binary, n bigint"
     kinds = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("__k1", pa.int64()), ("__k2", pa.int64()), ("pos", pa.int64()), ("left", pa.int32()), ("context", pa.binary()), ("n", pa.int64())])
-    reach = least - gram
+    middle = (least - (passage or least)) // 2
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple, list] = {}
@@ -204,12 +227,13 @@ def _neighbourhoods(rows: DataFrame, least: int, gram: int) -> DataFrame:
 
         for batch in sliced(batches, "__text", 4 << 20):
             out = []
-            for k1, k2, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for k1, k2, text, found, spared in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = text.encode()
+                back, on = (least - gram, least) if spared or not passage else (middle + passage - gram, least - middle)
                 for x in found:
                     h, pos = x["h"], x["pos"]
-                    left = min(pos, reach)
-                    context = raw[pos - left : pos + least]
+                    left = min(pos, back)
+                    context = raw[pos - left : pos + on]
                     mark = hashlib.blake2b(context, digest_size=16, salt=left.to_bytes(8, "little")).digest()
                     c1, c2 = int.from_bytes(mark[:8], "little", signed=True), int.from_bytes(mark[8:], "little", signed=True)
                     out.append((0, h, c1, c2, k1, k2, pos, None, None, None))
@@ -361,15 +385,23 @@ def _hot_parts(counted: DataFrame, least: int, gram: int, kind: int) -> DataFram
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for."""
+    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for.
+
+    With ``passage`` docs also have __in, which is true for all texts that have repeats and for few others.
+    """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lengths = (least,) if passage is None else (least, passage)
     rows = _keyed(docs, key, text)
     read = cut(_anchor_rows(rows, min(lengths), gram, least if passage else None), "anchors")
-    found, inner = read.where("h is not null").drop("end", "kind"), read.where("h is null").select("__k1", "__k2", "kind", F.col("pos").alias("begin"), "end")
+    found, inner = read.where("h is not null").drop("end"), read.where("h is null").select("__k1", "__k2", "kind", F.col("pos").alias("begin"), "end")
     again = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    per_text = found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found"))
-    extracts = cut(_neighbourhoods(rows.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found"), least, gram), "neighbourhoods")
+    per_text = found.join(again, "h", "left_semi").groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h", "pos")).alias("found"), (F.max("kind") if passage else F.lit(0)).alias("spared"))
+    some = rows
+    if passage:  # twice the anchors, so texts that have none in common with others don't move
+        per_text = cut(per_text, "found")
+        rows = _marked(rows, _marks(per_text.select("__k1", "__k2").unionByName(inner.select("__k1", "__k2"))))
+        some = rows.where("__in")
+    extracts = cut(_neighbourhoods(some.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found", "spared"), least, gram, passage), "neighbourhoods")
     counted, occurrences = extracts.where("kind = 1"), extracts.where("kind = 0")
     hot = cut(counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h"), "hot")
     if hot.isEmpty():
@@ -401,7 +433,10 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     else, of more than PASSAGE_WORDS words. They are counted, not removed.
     """
     rows, spans = repeated_spans(docs, key, text, least, gram, split, passage)
-    joined = rows.join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
+    moved = rows.where("__in") if passage else rows
+    joined = moved.join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
+    if passage:
+        joined = joined.unionByName(rows.where("NOT __in").select("__k1", "__text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "n_passage_bytes"] if passage else [])]
     kinds = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 2
     schema = ", ".join(f"`{n}` {'string' if k == pa.string() else 'bigint'}" for n, k in zip(names, kinds))
@@ -468,4 +503,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return repeat_digests(table(spark, sf_dir, "documents"))
+    return repeat_digests(table(spark, sf_dir, "documents"), passage=PASSAGE)

@@ -66,6 +66,29 @@ def test_digests_with_passages(spark, odd, split):
     assert any(e[2] for e in expected)
 
 
+def test_long_repeats_by_anchors_of_short_ones(spark):
+    """Strings of about 400 bytes that hold runs, cut from their texts at different places, by the anchors of 200 bytes."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(70):
+        noise = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+        unit = noise(rng.choice([1, 2, 7, 40, 90, 100, 130, 199]))
+        run = (unit * 500)[: rng.randint(150, 650)]
+        whole = noise(rng.randint(0, 300)) + run + noise(rng.randint(0, 300))
+        at = rng.randint(0, max(0, len(whole) - 400))
+        for _ in range(2):
+            begin, end = max(0, at - rng.choice([0, 0, 3, 150])), at + 400 + rng.choice([-1, 0, 0, 1, 60])
+            texts.append(noise(rng.choice([0, 50, 250])) + whole[begin:end] + noise(rng.choice([0, 50, 250])))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for split in (50_000, 1):
+        assert sorted((tuple(r)[:5] for r in sd.repeat_digests(df, split=split, passage=200).collect()), key=repr) == brute(rows, 400)
+
+
+def test_query_counts_the_passages(spark, sf):
+    assert sd.op3_suffix_dedup(spark, sf).columns[5:] == ["n_passages", "n_passage_bytes"]
+
+
 def test_segments_of_a_long_text(spark, odd, monkeypatch):
     monkeypatch.setattr(sd, "SEGMENT", 3000)
     long = [(1, "".join(t for _, t in odd[:20] if t)), (2, odd[5][1] or "x"), (3, "".join(t for _, t in odd[10:30] if t))]
