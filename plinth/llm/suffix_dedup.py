@@ -385,10 +385,7 @@ def _hot_parts(counted: DataFrame, least: int, gram: int, kind: int) -> DataFram
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM, split: int = SPLIT, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for.
-
-    With ``passage`` docs also have __in, which is true for all texts that have repeats and for few others.
-    """
+    """docs by __k1, __k2, and the spans (array of kind, begin, end, in bytes, unordered) of the texts that have repeats. kind 0: of ``least`` bytes; 1: of ``passage`` bytes, if asked for."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lengths = (least,) if passage is None else (least, passage)
     rows = _keyed(docs, key, text)
@@ -399,8 +396,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gra
     some = rows
     if passage:  # twice the anchors, so texts that have none in common with others don't move
         per_text = cut(per_text, "found")
-        rows = _marked(rows, _marks(per_text.select("__k1", "__k2").unionByName(inner.select("__k1", "__k2"))))
-        some = rows.where("__in")
+        some = _marked(rows, _marks(per_text)).where("__in")
     extracts = cut(_neighbourhoods(some.join(per_text, ["__k1", "__k2"]).select("__k1", "__k2", "__text", "found", "spared"), least, gram, passage), "neighbourhoods")
     counted, occurrences = extracts.where("kind = 1"), extracts.where("kind = 0")
     hot = cut(counted.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > split).select("h"), "hot")
@@ -433,8 +429,10 @@ def repeat_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     else, of more than PASSAGE_WORDS words. They are counted, not removed.
     """
     rows, spans = repeated_spans(docs, key, text, least, gram, split, passage)
-    moved = rows.where("__in") if passage else rows
-    joined = moved.join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
+    if passage:  # texts without repeats stay where they are
+        spans = cut(spans, "spans")
+        rows = _marked(rows, _marks(spans))
+    joined = (rows.where("__in") if passage else rows).join(spans, ["__k1", "__k2"], "left").select("__k1", "__text", "spans")
     if passage:
         joined = joined.unionByName(rows.where("NOT __in").select("__k1", "__text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_passages", "n_passage_bytes"] if passage else [])]
