@@ -12,8 +12,11 @@ proposes the alignment of a window with an item. Four repetitions meet 99 of 100
 their characters edited, and more of longer ones (tests measure recall by length and rate). Items of fewer than PIECES_BELOW
 bytes are also cut into one piece more than the edits allowed: a leak leaves one undamaged, so none of these is missed.
 
+A walk ends as soon as no item begins with the samples that it has so far; those that agree in all samples get to the end.
+
 A proposed window first meets the item in stretches of 64 bytes, thousands abreast: the least distances of all stretches add
-up to no more than the item's own, so what exceeds the distance allowed goes and nothing near is lost. For the others Myers'
+up to no more than the item's own, so a window goes as soon as those of its first stretches exceed the distance allowed, and
+nothing near is lost. For the others Myers'
 bit-parallel scan gives the item's exact least edit distance to any part of the window, widened by the distance allowed.
 Texts within ``similarity`` (1 - distance / item length) hold the item. Items go to the executors in blocks of BLOCK_BYTES at most, one pass over the texts for each block; more than
 MOST_BYTES of items are an error.
@@ -39,8 +42,10 @@ from plinth.llm._common import sliced, small_batches, table, text_or_empty
 SIMILARITY, STEPS, SAMPLED, REPETITIONS, BLOCK_BYTES, MOST_BYTES = 0.8, 36, 14, 4, 8 << 20, 256 << 20
 #: Items of fewer bytes are also met by pieces, of which a leak leaves one undamaged.
 PIECES_BELOW = 80
-#: Stretches of items that are held against texts together.
-TOGETHER = 1 << 11
+#: Stretches of items that are held against texts together, and bytes of their windows that are laid out at a time.
+TOGETHER, COLUMNS = 1 << 12, 32
+#: Bytes of texts that are searched together.
+TEXT_BYTES = 2 << 20
 
 
 def normal(text: str) -> bytes:
@@ -52,27 +57,42 @@ class Walk:
 
     def __init__(self, seed: int, steps: int, sampled: int) -> None:
         rng = np.random.default_rng(seed)
-        self.moves = rng.integers(0, 2, (steps, 256)).astype(np.int32)
+        self.moves = rng.integers(0, 2, (steps, 256))
         self.moves[:, 0] = 0  # the end of a text is never passed
         self.sampled = frozenset(rng.choice(steps, sampled, replace=False).tolist())
         self.last = max(self.sampled)
+        #: After some of the sampled steps, the last among them, the upper bits of the keys that the items have by then.
+        self.begun = {j: np.zeros(1 << 20, bool) for j in {*sorted(self.sampled)[5::2], self.last}}
+
+    def keys(self, flat: np.ndarray, at: np.ndarray, learn: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in at, and the sampled steps of the walks from there as 64-bit numbers.
 
-    def keys(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """The sampled steps of the walks from each place, as 64-bit numbers."""
-        out = np.empty(len(at), np.uint64)
-        for first in range(0, len(at), 1 << 15):  # blocks that stay in the cache
-            place = at[first : first + (1 << 15)].astype(np.int32)
-            key = np.zeros(len(place), np.uint64)
+        All of at to learn (the items' own places); else a place goes as soon as no item begins with its samples so far.
+        """
+        kept, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for first in range(0, len(at), 1 << 14):  # blocks that stay in the cache
+            place = at[first : first + (1 << 14)].astype(np.int64)
+            mine = np.arange(first, first + len(place))
+            key, low = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
+            byte, wide, move = np.zeros(len(place), np.uint8), np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             for j in range(self.last + 1):
-                byte = flat[place]
+                flat.take(place, out=byte, mode="clip")
+                wide[:] = byte
                 if j in self.sampled:
-                    key += byte
+                    key += wide.view(np.uint64)
                     key *= np.uint64(0x9E3779B97F4A7C15)
-                    key ^= key >> np.uint64(29)
+                    key ^= np.right_shift(key, np.uint64(29), out=low)
+                if j in self.begun and learn:
+                    self.begun[j][key >> np.uint64(44)] = True
+                elif j in self.begun:
+                    some = np.flatnonzero(self.begun[j].take((key >> np.uint64(44)).view(np.int64), mode="clip"))
+                    place, mine, key, wide = place[some], mine[some], key[some], wide[some]
+                    byte, low, move = byte[: len(some)], low[: len(some)], move[: len(some)]
                 if j < self.last:
-                    place += self.moves[j][byte]
-            out[first : first + (1 << 15)] = key
-        return out
+                    place += self.moves[j].take(wide, out=move, mode="clip")
+            kept.append(mine)
+            out.append(key)
+        return np.concatenate(kept), np.concatenate(out)
 
 
 def word_starts(flat: np.ndarray) -> np.ndarray:
@@ -108,11 +128,9 @@ class Items:
         offset = at - self.begins[item] if len(at) else at
         for k in range(repetitions):
             walk = Walk(k, steps, sampled)
-            keys = walk.keys(flat, at)
+            _, keys = walk.keys(flat, at, learn=True)
             order = np.argsort(keys, kind="stable")
-            coarse = np.zeros(1 << 20, bool)
-            coarse[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((walk, keys[order], item[order], offset[order], coarse))
+            self.tables.append((walk, keys[order], item[order], offset[order]))
         # of a short item that a text holds, one of these pieces is undamaged
         self.pieces = []
         for i, raw in enumerate(self.raws):
@@ -124,12 +142,11 @@ class Items:
         """Item and start in flat of the alignments that the samples propose, without repeats."""
         at = word_starts(flat)
         items, starts = [], []
-        for walk, keys, item, offset, coarse in self.tables:
+        for walk, keys, item, offset in self.tables:
             if not len(keys) or not len(at):
                 continue
-            mine = walk.keys(flat, at)
-            some = np.flatnonzero(coarse[(mine >> np.uint64(44)).astype(np.int64)])
-            low, high = np.searchsorted(keys, mine[some], "left"), np.searchsorted(keys, mine[some], "right")
+            some, mine = walk.keys(flat, at)
+            low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             n = high - low
             places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             items.append(item[places])
@@ -153,46 +170,78 @@ class Items:
     def plausible(self, flat: np.ndarray, item: np.ndarray, start: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether the item may lie within the distance allowed of flat[begin:end], aligned at start: the least distances of its stretches of 64 bytes to where the text may have them add up to no more.
 
-        Myers' columns of 64 rows, for TOGETHER stretches at a time.
+        Windows meet one stretch after another until these already add up to more; the fewer windows are left, the more
+        stretches of each at a time.
         """
-        if not len(item):
-            return np.zeros(0, bool)
         allowed = np.array(self.allowed, np.int64)[item]
-        pieces = -(-self.sizes[item] // 64)
-        window = np.repeat(np.arange(len(item)), pieces)
-        offset = 64 * runs(np.zeros(len(item), np.int64), pieces)
-        low = np.clip(start[window] + offset - allowed[window], begin[window], end[window])
-        length = np.minimum(64, self.sizes[item][window] - offset)
-        high = np.clip(start[window] + offset + length + allowed[window] + allowed[window] // 4 + 2, low, end[window])
-        place = self.begins[item[window]] + offset
-        least = length.copy()
-        order = np.argsort(high - low, kind="stable")
-        one = np.uint64(1)
-        for first in range(0, len(order), TOGETHER):
-            some = order[first : first + TOGETHER]
-            # the rows of each byte, for the distinct stretches among these
-            mine, which = np.unique(place[some], return_inverse=True)
-            size = np.zeros(len(mine), np.int64)
-            size[which] = length[some]
-            row = runs(np.zeros(len(mine), np.int64), size)
-            rows = np.zeros(len(mine) * 256, np.uint64)
-            np.bitwise_or.at(rows, np.repeat(np.arange(len(mine)) * 256, size) + self.flat[np.repeat(mine, size) + row], one << row.astype(np.uint64))
-            base, at, width = which * 256, low[some], high[some] - low[some]
-            top = (length[some] - 1).astype(np.uint64)
-            plus, minus = np.full(len(some), np.uint64(2**64 - 1)), np.zeros(len(some), np.uint64)
-            score = length[some].copy()
-            best = score.copy()
-            for step in range(int(width.max())):
-                equal = rows[base + flat[np.minimum(at + step, len(flat) - 1)]]
-                xv = equal | minus
-                xh = (((equal & plus) + plus) ^ plus) | equal
-                ph, mh = minus | ~(xh | plus), plus & xh
-                score += (ph >> top & one).astype(np.int64) - (mh >> top & one).astype(np.int64)
-                np.minimum(best, score, out=best, where=step < width)
-                ph <<= one
-                plus, minus = (mh << one) | ~(xv | ph), ph & xv
-            least[some] = best
-        return np.bincount(window, weights=least, minlength=len(item)) <= allowed
+        sizes, total = self.sizes[item], np.zeros(len(item), np.int64)
+        stretches = -(-sizes // 64)
+        flat = np.concatenate([flat, np.zeros(COLUMNS, np.uint8)])
+        met, left = 0, np.arange(len(item))
+        while len(left):
+            more = max(1, TOGETHER // len(left))
+            pieces = np.minimum(stretches[left] - met, more)
+            window = np.repeat(left, pieces)
+            offset = 64 * runs(np.full(len(left), met), pieces)
+            low = np.clip(start[window] + offset - allowed[window], begin[window], end[window])
+            length = np.minimum(64, sizes[window] - offset)
+            high = np.clip(start[window] + offset + length + allowed[window] + allowed[window] // 4 + 2, low, end[window])
+            place, least = self.begins[item[window]] + offset, np.zeros(len(window), np.int64)
+            order = np.argsort(high - low, kind="stable")
+            for first in range(0, len(order), TOGETHER):
+                some = order[first : first + TOGETHER]
+                least[some] = self.least(flat, place[some], length[some], low[some], high[some] - low[some])
+            np.add.at(total, window, least)
+            met += more
+            left = left[(total[left] <= allowed[left]) & (stretches[left] > met)]
+        return total <= allowed
+
+    def least(self, flat: np.ndarray, place: np.ndarray, length: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """The least distances of stretches of the items, from place on and of at most 64 bytes, to any part of the width bytes of flat from low on; widths in ascending order, COLUMNS bytes more in flat.
+
+        Myers' columns, all stretches abreast. A stretch takes the upper rows; what is below them agrees with every byte.
+        """
+        # the rows of each byte, for the distinct stretches among these
+        mine, which = np.unique(place, return_inverse=True)
+        size = np.zeros(len(mine), np.int64)
+        size[which] = length
+        one, below = np.uint64(1), (64 - size).astype(np.uint64)
+        rows = np.repeat((one << below) - one, 256)
+        np.bitwise_or.at(rows, np.repeat(np.arange(len(mine)) * 256, size) + self.flat[runs(mine, size)], one << runs(64 - size, size).astype(np.uint64))
+        ahead = np.lib.stride_tricks.sliding_window_view(flat, COLUMNS)
+        ended = np.searchsorted(width, np.arange(width[-1]), "right").tolist()
+        base, plus, minus = which * 256, np.uint64(2**64 - 1) << below[which], np.zeros(len(place), np.uint64)
+        score = length.astype(np.int8)
+        out = best = score.copy()
+        at, sign = np.empty(len(place), np.int64), np.empty(len(place), bool)
+        equal, xv, xh, ph, mh = np.empty((5, len(place)), np.uint64)
+        gone = 0
+        for step, over in enumerate(ended):
+            if step % COLUMNS == 0:  # windows that ended go; the next bytes of the others, column by column
+                low, base, plus, minus, score, best, at, sign, equal, xv, xh, ph, mh = (x[over - gone :] for x in (low, base, plus, minus, score, best, at, sign, equal, xv, xh, ph, mh))
+                gone = over
+                columns = np.ascontiguousarray(ahead[low + step].T)
+            np.add(base, columns[step % COLUMNS], out=at)
+            rows.take(at, out=equal, mode="clip")
+            np.bitwise_or(equal, minus, out=xv)
+            np.bitwise_and(equal, plus, out=xh)
+            xh += plus
+            xh ^= plus
+            xh |= equal
+            np.bitwise_or(xh, plus, out=ph)
+            np.invert(ph, out=ph)
+            ph |= minus
+            np.bitwise_and(plus, xh, out=mh)
+            score += np.less(ph.view(np.int64), 0, out=sign).view(np.int8)
+            score -= np.less(mh.view(np.int64), 0, out=sign).view(np.int8)
+            np.minimum(best[over - gone :], score[over - gone :], out=best[over - gone :])
+            ph <<= one
+            mh <<= one
+            np.bitwise_or(xv, ph, out=plus)
+            np.invert(plus, out=plus)
+            plus |= mh
+            np.bitwise_and(ph, xv, out=minus)
+        return out
 
     def distance(self, item: int, window: bytes) -> int:
         """The least edit distance of the item to any part of the window."""
@@ -274,7 +323,7 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
         def find(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             known = Items(block, similarity, steps, sampled, repetitions)
-            for batch in sliced(batches, "__text", 1 << 20):
+            for batch in sliced(batches, "__text", TEXT_BYTES):
                 keys = batch.column(0).to_pylist()
                 found = [(keys[t], known.ids[i], d, 1 - d / len(known.raws[i])) for t, i, d, _ in known.held([normal(t) for t in batch.column(1).to_pylist()])]
                 if found:
@@ -292,7 +341,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
 
         def clean(batches: Iterator[pa.RecordBatch], block: list = block) -> Iterator[pa.RecordBatch]:
             known = Items(block, similarity, steps, sampled, repetitions)
-            for batch in sliced(batches, text, 1 << 20):
+            for batch in sliced(batches, text, TEXT_BYTES):
                 held = {t for t, *_ in known.held([normal(t or "") for t in batch.column(place).to_pylist()])}
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in held], pa.int64())) if held else batch
 

@@ -96,6 +96,63 @@ def test_the_stretches_lose_nothing(items):
     assert near > 50
 
 
+def test_walks_end_early_and_lose_none(items, rows):
+    """Proposals are those of all whole walks; few places are walked to the end."""
+    known = dc.Items(items, 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS)
+    hosts = [t for _, t in rows if t]
+    flat = np.frombuffer(b"\0".join(dc.normal(t) for t in hosts + [f"{t[:90]} {x[20:]}" for t, (_, x) in zip(hosts, items)]) + b"\0", np.uint8)
+
+    def samples(walk, flat, place):
+        out = []
+        for j in range(dc.STEPS):
+            out += [int(flat[place])] if j in walk.sampled else []
+            place += int(walk.moves[j][flat[place]])
+        return tuple(out)
+
+    at, expected = dc.word_starts(flat)[-1500:], set()
+    for walk, keys, *_ in known.tables:
+        own = {}
+        for p in np.flatnonzero(known.flat).tolist():
+            own.setdefault(samples(walk, known.flat, p), []).append(p)
+        for p in at.tolist():
+            expected |= {(i, p - o + b) for o in own.get(samples(walk, flat, p), []) for i in [int(np.searchsorted(known.begins, o, "right")) - 1] for b in [int(known.begins[i])]}
+        some, mine = walk.keys(flat, dc.word_starts(flat))
+        assert len(some) < 0.5 * len(dc.word_starts(flat)) and len(mine) == len(some)
+    found = set(zip(*(c.tolist() for c in known.hits(flat))))
+    assert expected and expected <= found
+
+
+def test_windows_go_at_the_first_stretches_that_exceed(items, rows, monkeypatch):
+    """As plausible as all stretches together say, for less than all of them; a long item's stretches go together."""
+    long = " ".join(t for _, t in rows if t and len(t) < 5000)[:1500]
+    known, rng = dc.Items([*items, (-1, long), (-2, "x" * 65)], 0.8, dc.STEPS, dc.SAMPLED, dc.REPETITIONS), random.Random(5)
+    hosts = [dc.normal(t) for _, t in rows if t and len(t) > 900]
+    item = np.array([rng.randrange(len(items)) for _ in range(60)] + [len(items), len(items) + 1])
+    texts = [rng.choice(hosts)[:900] if rng.random() < 0.7 else dc.normal("before " + edited(rng, items[i][1], 0.25)) for i in item[:60].tolist()] + [dc.normal("before " + edited(rng, long, 0.1)), b"x" * 55]
+    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    end = np.cumsum([len(t) + 1 for t in texts]) - 1
+    begin = end - [len(t) for t in texts]
+    start = begin + 7
+    expected, stretches = [], 0
+    for i, s, a, b in zip(item.tolist(), start.tolist(), begin.tolist(), end.tolist()):
+        raw, k, least = known.raws[i], known.allowed[i], 0
+        for o in range(0, len(raw), 64):
+            piece = raw[o : o + 64]
+            low = min(max(s + o - k, a), b)
+            least += least_distance(piece, flat[low : max(low, min(s + o + len(piece) + k + k // 4 + 2, b))].tobytes())
+            stretches += 1
+        expected.append(least <= k)
+    calls, least = [], dc.Items.least
+    monkeypatch.setattr(dc.Items, "least", lambda self, *a: calls.append(len(a[1])) or least(self, *a))
+    monkeypatch.setattr(dc, "TOGETHER", 16)
+    assert known.plausible(flat, item, start, begin, end).tolist() == expected and 0 < sum(expected) < 62
+    assert sum(calls) < stretches
+    calls.clear()
+    monkeypatch.setattr(dc, "TOGETHER", 1 << 12)
+    assert known.plausible(flat, item[60:], start[60:], begin[60:], end[60:]).tolist() == expected[60:] == [True, True]
+    assert len(calls) == 1
+
+
 def test_too_many_items(spark, docs, monkeypatch):
     monkeypatch.setattr(dc, "MOST_BYTES", 10)
     with pytest.raises(ValueError):
