@@ -12,8 +12,9 @@ word numbers. Each batch sends its distinct words with their counts to the words
 them and answer; then its distinct bigrams to the partitions of their contexts, which hold the counts of all bigrams of a
 context, weigh the backoff and answer with the count of each bigram of the batch and the total and alpha of each context,
 from which the batch takes the probabilities. So a frequent word or bigram moves once per batch, never once per occurrence,
-a context's followers lie in one partition in compressed arrays, and no table is broadcast; N, V and the counts of counts
-are all that the driver sees. Parts lie by their number in partitions of their own.
+a context's followers lie in one partition in compressed arrays, and no table is broadcast but one row of N, V and the
+counts of counts. Parts lie by their number in partitions of their own. All is one query of four exchanges of those rows, each
+written once and used again, without files of its own.
 
 Null texts are empty: one end token. Rows with equal keys are scored, and learned from, as often as they come. Without any
 training token every probability is 1. An empty table gives an empty one. Long texts are split into tokens by position
@@ -22,18 +23,19 @@ arithmetic and join one batch whole. Columns other than key and text are never r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm._common import cut, flat_bytes, small_batches, table, text_or_empty
+from plinth.llm._common import flat_bytes, sliced, small_batches, table, text_or_empty
 from plinth.llm.quality import remainder
 
 MOST = 5  # counts up to this one are discounted
 BATCH_TOKENS = 1_200_000
+READ_BYTES = 1 << 20  # of texts split into words at once, but whole texts: their numbers take many times that
 END_WORD = np.uint64(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,17 +70,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, list[dict]]]:
-    """Runs of rows with equal keys, of rows sorted by it."""
-    key, held = None, []
+    """A partition's rows by key, in whatever order they come: sorts would take pages of the executor's heap."""
+    held: dict[int, list[dict]] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            if row[by] != key and held:
-                yield key, held
-                held = []
-            key = row[by]
-            held.append(row)
-    if held:
-        yield key, held
+            held.setdefault(row[by], []).append(row)
+    while held:
+        yield held.popitem()
 
 
 def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +105,7 @@ def word_hashes(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _read(rows: DataFrame, parts: int) -> DataFrame:
-    """rows: key, __held, __text. kind 0: a batch's tokens (a), sizes (b), keys and held-out marks (c). kind 1: of a part's words in it the hashes (a), training counts (b), local numbers (c)."""
+    """rows: key, __held, __text. kind 0: a batch's tokens (a), sizes (b), keys and held-out marks (c), with any part. kind 1: of a part's words in it the hashes (a), training counts (b), local numbers (c)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,7 +126,7 @@ def _read(rows: DataFrame, parts: int) -> DataFrame:
             number = task << 32 | made
             nulls = np.array([k is None for k in keys], bool)
             ids = np.array([0 if k is None else k for k in keys], np.int64)
-            out = [(0, number, -1, _packed(local, np.uint32), _packed(size, np.uint32), _packed(np.concatenate([ids, out_of, nulls]), np.int64))]
+            out = [(0, number, (7 * task + made) % parts, _packed(local, np.uint32), _packed(size, np.uint32), _packed(np.concatenate([ids, out_of, nulls]), np.int64))]
             part_of = (words >> np.uint64(7)) % np.uint64(parts)
             by = np.argsort(part_of, kind="stable")
             bounds = np.searchsorted(part_of[by], np.arange(parts + 1, dtype=np.uint64))
@@ -142,9 +140,7 @@ def _read(rows: DataFrame, parts: int) -> DataFrame:
                 x.clear()
             return _rows(out)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, "__text", READ_BYTES):
             found, size = word_hashes(*flat_bytes(batch.column(2)))
             tokens.append(found)
             sizes.append(size)
@@ -159,28 +155,66 @@ def _read(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(read, ROW)
 
 
+class Words:
+    """The distinct words of a part, over all batches, with their counts in training."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.hashes = [np.cumsum(_unpacked(r["a"], np.uint64), dtype=np.uint64) for r in rows]
+        words, self.at = np.unique(np.concatenate(self.hashes), return_inverse=True)
+        self.count = np.zeros(len(words), np.int64)
+        np.add.at(self.count, self.at, np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]).astype(np.int64))
+
+
 def _number_words(read: DataFrame, parts: int) -> DataFrame:
-    """kind 2: of a batch and part the words' numbers (a), counts in training (b), local numbers (c). kind 3: of a part N, V and the counts of counts (a)."""
+    """kind 0: as it is. kind 2: of a batch and part the words' numbers (a), counts in training (b), local numbers (c)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in _groups(batches, "part"):
-            hashes = [np.cumsum(_unpacked(r["a"], np.uint64), dtype=np.uint64) for r in rows]
-            words, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            count = np.zeros(len(words), np.int64)
-            np.add.at(count, at, np.concatenate([_unpacked(r["b"], np.uint32) for r in rows]).astype(np.int64))
-            seen = np.bincount(np.minimum(count, MOST + 2), minlength=MOST + 3)[: MOST + 2]
-            out = [(3, -1, p, np.concatenate([[count.sum(), (count > 0).sum()], seen[1:]]).astype(np.int64).tobytes(), None, None)]
+            for r in rows:
+                if r["kind"] == 0:
+                    yield _rows([(0, r["batch"], p, r["a"], r["b"], r["c"])])
+            rows = [r for r in rows if r["kind"] == 1]
+            if not rows:
+                continue
+            words = Words(rows)
             # frequent words have small numbers, which take less room
-            rank = np.empty(len(words), np.int64)
-            rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
+            rank = np.empty(len(words.count), np.int64)
+            rank[np.argsort(-words.count, kind="stable")] = np.arange(len(words.count))
             first = 0
-            for r, h in zip(rows, hashes):
-                mine = at[first : first + len(h)]
+            for r, h in zip(rows, words.hashes):
+                mine = words.at[first : first + len(h)]
                 first += len(h)
-                out.append((2, r["batch"], p, _packed(rank[mine] * parts + p + 1, np.uint64), _packed(count[mine], np.uint64), r["c"]))
-            yield _rows(out)
+                yield _rows([(2, r["batch"], p, _packed(rank[mine] * parts + p + 1, np.uint64), _packed(words.count[mine], np.uint64), r["c"])])
+
+    return read.mapInArrow(add, ROW)
+
 
-    return read.where("kind = 1").repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(add, ROW)
+def _sums(rows: DataFrame, of: Callable[[list[dict]], list[int]], n: int, name: str) -> DataFrame:
+    """One row: the array of n sums, over the parts, of what of() gives for a part's rows; and __one, 1. Without groups they take no hash table."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _groups(batches, "part"):
+            yield pa.RecordBatch.from_pydict({f"s{i}": pa.array([int(x)], pa.int64()) for i, x in enumerate(of(group))})
+
+    summed = rows.mapInArrow(add, ", ".join(f"s{i} bigint" for i in range(n)))
+    return summed.agg(F.array(*(F.coalesce(F.sum(f"s{i}"), F.lit(0)) for i in range(n))).alias(name)).withColumn("__one", F.lit(1))
+
+
+def _of_words(rows: list[dict]) -> list[int]:
+    """N, V and the counts of counts, of a part's words."""
+    rows = [r for r in rows if r["kind"] == 1]
+    if not rows:
+        return [0] * (MOST + 3)
+    count = Words(rows).count
+    return [count.sum(), (count > 0).sum(), *_counts_of_counts(count)]
+
+
+def _of_bigrams(rows: list[dict]) -> list[int]:
+    return [*_counts_of_counts(Merged(rows).count)]
+
+
+def _counts_of_counts(count: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(count, MOST + 2), minlength=MOST + 3)[1 : MOST + 2]
 
 
 class Tokens:
@@ -280,6 +314,11 @@ class Unigrams:
         self.scale = 1.0 if left > 0 else total / (total + 1)
         self.unknown = left if left > 0 else 1 / (total + 1)
 
+    @classmethod
+    def of(cls, sums: np.ndarray) -> Unigrams:
+        """From what _of_words gives, over all parts."""
+        return cls(int(sums[0]), int(sums[1]), sums[2:])
+
     def probability(self, count: np.ndarray) -> np.ndarray:
         known = self.scale * self.d[np.minimum(count, MOST + 1) * (count <= MOST)] * count / max(1, self.total)
         return np.where(count > 0, known, self.unknown)
@@ -306,34 +345,24 @@ def backoff(context: np.ndarray, follower: np.ndarray, count: np.ndarray, d: np.
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held_out: int = 2) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs. A part of docs that is read again, after a lost executor, must give its rows in the same order, as files do."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long"), (remainder(key, modulus) == held_out).alias("__held"), text_or_empty(text).alias("__text"))
-    read = cut(_read(rows, parts), "batches")
-    numbered = cut(_number_words(read, parts), "words")
-    sums = np.zeros(MOST + 3, np.int64)
-    for r in numbered.where("kind = 3").select("a").toLocalIterator():
-        sums += np.frombuffer(r["a"], np.int64)
-    unigrams = Unigrams(int(sums[0]), int(sums[1]), sums[2:])
-    known = read.where("kind = 0").unionByName(numbered.where("kind = 2"))
-    dealt = known.repartition(parts, "batch")
-    bigrams = _bigrams(dealt.sortWithinPartitions("batch"), parts).repartitionById(parts, "part")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for p, group in _groups(batches, "part"):
-            seen = np.bincount(np.minimum(Merged(group).count, MOST + 2), minlength=MOST + 3)[1 : MOST + 2]
-            yield pa.RecordBatch.from_pydict({"r": pa.array(range(1, MOST + 2), pa.int32()), "n": pa.array(seen, pa.int64())})
-
-    # the same exchange serves the counts of counts and, with them, the probabilities
-    counted = bigrams.sortWithinPartitions("part").mapInArrow(count, "r int, n bigint").groupBy("r").agg(F.sum("n").alias("n"))
-    of_counts = counted.agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("__n")).withColumn("__one", F.lit(1))
-    with_counts = bigrams.withColumn("__one", F.lit(1)).join(F.broadcast(of_counts), "__one").select("kind", "batch", "part", "a", "b", "c", F.col("__n.n").alias("n"))
+    read = _read(rows, parts).repartitionById(parts, "part")
+    dealt = _number_words(read, parts).repartition(parts, "batch")
+    bigrams = _bigrams(dealt, parts).repartitionById(parts, "part")
+    # the same exchanges serve the sums and, with them, the probabilities
+    with_sums = bigrams.withColumn("__one", F.lit(1))
+    for one in (_sums(read, _of_words, MOST + 3, "words"), _sums(bigrams, _of_bigrams, MOST + 1, "n")):
+        with_sums = with_sums.join(F.broadcast(one), "__one")
+    with_sums = with_sums.drop("__one")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, group in _groups(batches, "part"):
             merged = Merged(group)
-            d = discounts(np.array(group[0]["n"]))
+            d, sums = discounts(np.array(group[0]["n"])), np.array(group[0]["words"])
+            unigrams = Unigrams.of(sums)
             starts, divisor, alpha = backoff(merged.context, merged.follower, merged.count, d, unigrams)
             context_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(merged.context))))
             first = 0
@@ -341,10 +370,10 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
                 mine = merged.at[first : first + size]
                 own = context_of[mine]
                 own = own[np.concatenate([[True], own[1:] != own[:-1]])]
-                yield _rows([(5, batch, p, _packed(merged.count[mine], np.uint64), _packed(np.concatenate([[len(d)], d, divisor[own]]), np.float64), _packed(alpha[own], np.float64))])
+                yield _rows([(5, batch, p, _packed(np.concatenate([sums, merged.count[mine]]), np.uint64), _packed(np.concatenate([[len(d)], d, divisor[own]]), np.float64), _packed(alpha[own], np.float64))])
                 first += size
 
-    answers = with_counts.sortWithinPartitions("part").mapInArrow(answer, ROW)
+    answers = with_sums.mapInArrow(answer, ROW)
     schema = f"`{key}` bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def score(tokens: pa.Table, replies: pa.Table) -> pa.Table:
@@ -355,6 +384,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
         for r in replies.to_pylist():
             mine = order[bounds[r["part"]] : bounds[r["part"] + 1]]
             seen, head, alpha = _unpacked(r["a"], np.uint64).astype(np.int64), _unpacked(r["b"], np.float64), _unpacked(r["c"], np.float64)
+            unigrams, seen = Unigrams.of(seen[: MOST + 3]), seen[MOST + 3 :]
             d, divisor = head[1 : 1 + int(head[0])], head[1 + int(head[0]) :]
             first = t.number[t.first[mine]]
             of = np.cumsum(np.concatenate([[False], first[1:] != first[:-1]]))
@@ -372,8 +402,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", modulu
             }
         )
 
-    # the batches' exchange serves again: only the answers move to them
-    return dealt.groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch")).applyInArrow(score, schema)
+    # the batches' exchange serves again: only the answers move to them; scores are few bytes a text and go into few files
+    return dealt.groupBy("batch").cogroup(answers.repartition(parts, "batch").groupBy("batch")).applyInArrow(score, schema).hint("rebalance")
 
 
 def op1_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from plinth.llm import katz
+from plinth.llm import _common, katz
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -76,6 +76,20 @@ def test_scores(spark, docs, model, monkeypatch):
         assert any(tuple(r[1:]) == e for e in expected[r.doc_id])
 
 
+def test_one_query_of_few_files(spark, docs, monkeypatch, tmp_path):
+    """Nothing is written on the way, and scores of many partitions go into few files: each file makes an executor start processes, which share its memory for a moment."""
+    monkeypatch.setattr(katz, "BATCH_TOKENS", 500)
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: pytest.fail("a table of its own"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        katz.score_texts(docs.repartition(8)).write.parquet(f"{tmp_path}/scores")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert spark.read.parquet(f"{tmp_path}/scores").count() == docs.count()
+    assert len(list(tmp_path.glob("scores/*.parquet"))) <= 2
+
+
 def test_empty_table(none):
     assert katz.score_texts(none).count() == 0
 
