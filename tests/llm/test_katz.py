@@ -90,6 +90,18 @@ def test_one_query_of_few_files(spark, docs, monkeypatch, tmp_path):
     assert len(list(tmp_path.glob("scores/*.parquet"))) <= 2
 
 
+def test_long_texts_are_split_a_megabyte_at_a_time(spark, monkeypatch):
+    plain = katz.word_hashes
+
+    def watched(flat, at):
+        assert len(flat) <= 1 << 20
+        return plain(flat, at)
+
+    monkeypatch.setattr(katz, "word_hashes", watched)
+    got = katz.score_texts(spark.range(0, 40, 1, 1).selectExpr("id doc_id", "repeat('a word ', 14000) text")).collect()
+    assert [r.n_tokens for r in got] == [28001] * 40
+
+
 def test_empty_table(none):
     assert katz.score_texts(none).count() == 0
 
